@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from poolsmith.llm import chat_format, exact_dedup
+from poolsmith.llm import chat_format, exact_dedup, packing
 
 MODULES = {
+    "op2_curve_packing": packing,
     "op4_reply_trees": chat_format,
     "op9_exact_dedup": exact_dedup,
 }
