@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from poolsmith.llm import chat_format, exact_dedup, packing, simhash
+from poolsmith.llm import chat_format, exact_dedup, packing, quality, simhash
 
 MODULES = {
     "op2_curve_packing": packing,
     "op4_reply_trees": chat_format,
     "op7_simhash_near_dedup": simhash,
     "op9_exact_dedup": exact_dedup,
+    "op10_isolation_forest": quality,
 }
 
 
