@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from poolsmith.llm import chat_format, exact_dedup, packing, quality, simhash
+from poolsmith.llm import chat_format, exact_dedup, packing, pii, quality, simhash
 
 MODULES = {
+    "op1_contextual_pii": pii,
     "op2_curve_packing": packing,
     "op4_reply_trees": chat_format,
     "op7_simhash_near_dedup": simhash,
