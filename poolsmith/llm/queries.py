@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from poolsmith.llm import chat_format, exact_dedup, packing, pii, quality, simhash
+from poolsmith.llm import chat_format, exact_dedup, packing, pii, quality, simhash, toxicity
 
 MODULES = {
     "op1_contextual_pii": pii,
     "op2_curve_packing": packing,
     "op4_reply_trees": chat_format,
+    "op5_string_kernel_toxicity": toxicity,
     "op7_simhash_near_dedup": simhash,
     "op9_exact_dedup": exact_dedup,
     "op10_isolation_forest": quality,
