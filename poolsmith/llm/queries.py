@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from poolsmith.llm import chat_format, exact_dedup, packing, pii, quality, simhash, toxicity
+from poolsmith.llm import chat_format, exact_dedup, license_scan, packing, pii, quality, simhash, toxicity
 
 MODULES = {
     "op1_contextual_pii": pii,
     "op2_curve_packing": packing,
+    "op3_rare_token_licenses": license_scan,
     "op4_reply_trees": chat_format,
     "op5_string_kernel_toxicity": toxicity,
     "op7_simhash_near_dedup": simhash,
