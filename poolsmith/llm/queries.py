@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poolsmith.llm import chat_format, exact_dedup, license_scan, packing, pii, quality, simhash, toxicity
+from poolsmith.llm import chat_format, exact_dedup, html_extract, license_scan, packing, pii, quality, simhash, toxicity
 
 MODULES = {
     "op1_contextual_pii": pii,
@@ -10,6 +10,7 @@ MODULES = {
     "op3_rare_token_licenses": license_scan,
     "op4_reply_trees": chat_format,
     "op5_string_kernel_toxicity": toxicity,
+    "op6_template_html": html_extract,
     "op7_simhash_near_dedup": simhash,
     "op9_exact_dedup": exact_dedup,
     "op10_isolation_forest": quality,
