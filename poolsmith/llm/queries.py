@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poolsmith.llm import chat_format, exact_dedup, html_extract, license_scan, packing, pii, quality, simhash, toxicity
+from poolsmith.llm import chat_format, exact_dedup, html_extract, license_scan, packing, piece_codec, pii, quality, simhash, toxicity
 
 MODULES = {
     "op1_contextual_pii": pii,
@@ -12,6 +12,7 @@ MODULES = {
     "op5_string_kernel_toxicity": toxicity,
     "op6_template_html": html_extract,
     "op7_simhash_near_dedup": simhash,
+    "op8_piece_viterbi": piece_codec,
     "op9_exact_dedup": exact_dedup,
     "op10_isolation_forest": quality,
 }
