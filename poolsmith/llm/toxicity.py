@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from poolsmith.llm.common import table, text_or_empty
 
 #: At most so many labelled rows, those with the smallest hashes of their ids, are trained on.
-LABELLED = 6000
+LABELLED = 3000
 TOXIC_LANDMARKS, COMMON_LANDMARKS = 64, 8
 SPAN, DECAY, POWER = 5, 0.7, 4
 #: Sentences are cut after so many words.
@@ -112,7 +112,8 @@ class Kernel:
                 parts = self.table[place[feature[hit]]] * weight[hit, None].astype(np.float32)
                 out[np.array(at)[owner[first]]] = np.add.reduceat(parts, first, axis=0) / norm[owner[first], None]
             i = j
-        return out.astype(np.float64) ** POWER
+        out **= POWER
+        return out
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -158,6 +159,13 @@ def sentence_starts(ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(place % SENTENCE == 0)
 
 
+def distinct_words(words: np.ndarray, starts: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence, word) of each sentence's distinct words, by sentence; words are numbers below ``many``."""
+    sentence = np.zeros(len(words), np.int64)
+    sentence[starts[1:]] = 1
+    return np.divmod(np.unique(np.cumsum(sentence) * many + words), many)
+
+
 class Model:
     """Shares of words in a sentence's decision, and the way from decisions to probabilities."""
 
@@ -208,11 +216,9 @@ class Model:
                 if (single[3:] & single[2:-1] & single[1:-2] & single[:-3]).any():
                     shares = shares + self.spelled(ws, single)
                 # a word counts once in a sentence
-                sentence = np.zeros(len(ws), np.int64)
-                sentence[starts[1:]] = 1
-                sentence = np.cumsum(sentence)
-                first = np.unique(sentence * len(self.place) + at, return_index=True)[1]
-                out[i] += np.bincount(sentence[first], shares[first], len(starts)).max()
+                key = np.cumsum(np.bincount(starts[1:], minlength=len(ws))) * len(self.place) + at
+                first = np.unique(key, return_index=True)[1]
+                out[i] += np.bincount(key[first] // len(self.place), shares[first], len(starts)).max()
         return out
 
     def spelled(self, words: list[bytes], single: np.ndarray) -> np.ndarray:
@@ -250,26 +256,30 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     landmarks = sorted(far, key=lambda w: (-far[w], w))[:TOXIC_LANDMARKS]
     landmarks += [w for w, _ in sorted(down.items(), key=lambda x: (-x[1], x[0])) if w not in landmarks][:COMMON_LANDMARKS]
     kernel = Kernel(landmarks)
-    named = sorted(set(plains.values()) - {""})
-    like = dict(zip(named, kernel(named), strict=True)) if named else {}
-    zero = np.zeros(len(landmarks))
+    named = {w: i for i, w in enumerate(sorted(set(plains.values()) - {""}), 1)} | {"": 0}
+    like = np.zeros((len(named), len(landmarks)), np.float32)
+    if len(named) > 1:
+        like[1:] = kernel([w for w in named if w])
     rows, owner = [], []
     for i, d in enumerate(docs):
         if d:
             starts = sentence_starts(np.array([w[-1] in ".!?\0" for w in d]))
-            rows += [sum((like.get(plains[w], zero) for w in set(d[a:b])), zero) for a, b in zip(starts, [*starts[1:], len(d)], strict=True)]
+            sentence, at = distinct_words(np.array([named[plains[w]] for w in d]), starts, len(named))
+            first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+            rows.append(np.add.reduceat(like[at], first, axis=0))
             owner += [i] * len(starts)
-    x, owner = np.array(rows), np.array(owner)
+    x, owner = np.concatenate(rows), np.array(owner)
+    del rows, like
     values, vectors = np.linalg.eigh(kernel(landmarks))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T  # Nyström
-    z = x @ root
+    z = x @ root.astype(np.float32)
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     decision = x[:, : min(TOXIC_LANDMARKS, len(far))].sum(1)
     share, bias = np.zeros(len(landmarks)), 0.0
     for _ in range(5):
         worst = np.array([a + int(np.argmax(decision[a:b])) for a, b in zip(first, [*first[1:], len(owner)], strict=True)])
         y = np.where(toxic[owner[worst]], 1.0, -1.0)
-        beta, bias = svm(z[worst], y, np.where(y > 0, 1.0 / max(1e-9, (y > 0).mean()), 1.0 / max(1e-9, (y < 0).mean())) / 2)
+        beta, bias = svm(z[worst].astype(np.float64), y, np.where(y > 0, 1.0 / max(1e-9, (y > 0).mean()), 1.0 / max(1e-9, (y < 0).mean())) / 2)
         share = root @ beta
         decision = x @ share + bias
     model = Model(kernel, share, bias, (1.0, 0.0))
