@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from poolsmith.llm.common import shared_table, table
+from poolsmith.llm.common import checkpoint, shared_table, table
 
 #: Parts in which a host's pages are dealt out when the host's template comes to them.
 SALTS = 64
+#: Templates of at most so many bytes in all are sent to every task instead.
+SENT = 8 << 20
 SUPPORT = 0.5
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -261,11 +263,14 @@ def templates(read: DataFrame, support: float = SUPPORT) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per row."""
     read = shared_table(read_pages(pages), "pages")
-    found = templates(read.select("page_id", "url", "host", "tokens"))
-    # a host with very many pages is dealt out: its template goes to each of SALTS parts
-    dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = read.select("page_id", "url", "host", "has_main", "blocks").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(dealt, ["host", "salt"], "left")
+    found = checkpoint(templates(read.select("page_id", "url", "host", "tokens")))
+    weight = found.agg(F.sum(8 * F.size("template") + F.octet_length("host") + 64)).first()[0] or 0
+    rows = read.select("page_id", "url", "host", "has_main", "blocks")
+    if weight <= SENT:
+        joined = rows.join(F.broadcast(found), "host", "left")
+    else:  # a host with very many pages is dealt out: its template goes to each of SALTS parts
+        dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt"], "left")
     kept = F.filter("blocks", lambda b: F.when(F.col("has_main"), b["main"]).otherwise(~F.array_contains(F.coalesce("template", F.expr("cast(array() as array<bigint>)")), b["token"])))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return joined.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
