@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage works on what the one before it kept."""
+"""The corpus pipeline: each stage works on what the one before it kept.
+
+All stages but the last return the columns of documents. A null text is handled by each stage as its
+operator says; repeated rows, null ids and further columns pass through all stages but packing.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolsmith.llm import exact_dedup
-from poolsmith.llm.common import shared_dir
+from poolsmith.llm import exact_dedup, packing, pii, simhash, toxicity
+from poolsmith.llm.common import shared_dir, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the model, trained on labelled rows that are not held out, scores as toxic go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where(f"toxicity < {toxicity.CUT}").drop("toxicity")
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +25,27 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs)
 
 
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents alike in 0.8 or more of their runs of five words, the one with the smallest doc_id stays."""
+    return simhash.keep_one(docs)
+
+
+def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets; n_chars follows."""
+    return pii.redact(docs, length_col="n_chars")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens, with their ids."""
+    return packing.pack(docs, packing.default_tokenizer())
+
+
 STAGES = [
+    ("toxicity", reject_toxic),
     ("exact dedup", dedup_exact),
+    ("simhash near-dedup", dedup_near),
+    ("pii", redact_private),
+    ("packing", pack),
 ]
 
 #: Toxicity, fingerprints and packing are beyond SQL; tests/llm compare the stages with brute force.

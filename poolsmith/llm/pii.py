@@ -133,7 +133,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
     source = docs.select(*keep, row.alias("row"), text_or_empty(text_col).alias("text"))
     kinds = ", ".join(f"{c} {dict(source.dtypes)[c]}" for c in keep)
-    return source.mapInArrow(run, f"{kinds}, row long, base string, " + ", ".join(f"n_{k} long" for k in KINDS[:4]) + ", around array<struct<start: long, end: long, seed: boolean, instance: long, patterns: array<long>>>")
+    return source.mapInArrow(run, ", ".join(filter(None, [kinds, "row long, base string, "])) + ", ".join(f"n_{k} long" for k in KINDS[:4]) + ", around array<struct<start: long, end: long, seed: boolean, instance: long, patterns: array<long>>>")
 
 
 def confident_patterns(scanned: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
@@ -175,8 +175,8 @@ def redacted(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with personal data replaced in the text; all columns stay, a null text stays null."""
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with personal data replaced in the text; all columns stay, a null text stays null. length_col: gets the text's length, where neither is null."""
     numbered = shared_table(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
     found = find(numbered, text_col, ()).where("spans != ''").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
     names = docs.columns
@@ -187,7 +187,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [redacted(t, s) if t is not None and s else t for t, s in zip(batch.column(where).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(where).type) if i == where else batch.column(i) for i in range(len(names))], schema=pa.schema([batch.schema.field(i) for i in range(len(names))]))
 
-    return numbered.join(found, "_row", "left").select(*names, "_spans").mapInArrow(run, docs.schema)
+    out = numbered.join(found, "_row", "left").select(*names, "_spans").mapInArrow(run, docs.schema)
+    if length_col in names:
+        changed = F.col(length_col).isNotNull() & F.col(text_col).isNotNull()
+        out = out.withColumn(length_col, F.when(changed, F.char_length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)).select(*names)
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

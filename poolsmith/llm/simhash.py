@@ -65,18 +65,18 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, f0, f1, ...: one row per row; signed longs with the fingerprint's bits."""
+def fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, also..., f0, f1, ...: one row per row; signed longs with the fingerprint's bits. also: further long columns to keep."""
     names = [f"f{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(shingle_hashes(t, size), lanes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [fingerprint(shingle_hashes(t, size), lanes) for t in batch.column(1 + len(also)).cast(pa.binary()).to_pylist()]
             bits = np.array(found, np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(bits[:, i]) for i in range(lanes))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1 + len(also))), *(pa.array(bits[:, i]) for i in range(lanes))], names=["doc_id", *also, *names])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return base.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *also, text_or_empty(text_col).alias("text"))
+    return base.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in also), *(f"{n} long" for n in names)]))
 
 
 def segment_places(bits: int, segments: int, width: int | None) -> list[tuple[int, int]]:
@@ -117,8 +117,8 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def bucket_links(key: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (row, root) of a spanning forest of the links within the radius in each bucket; rows are sorted by key.
+def near_pairs(key: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, own row, distance) of all pairs within the radius in each bucket, by blocks; rows are sorted by key.
 
     own rows stand in the bucket; each row is held against them all.
     """
@@ -127,7 +127,6 @@ def bucket_links(key: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int)
     low, high = np.repeat(stand[bounds[:-1]], np.diff(bounds)), np.repeat(stand[bounds[1:]], np.diff(bounds))
     table_ = np.flatnonzero(own)
     count = high - low
-    root = np.arange(len(key))
     starts = np.concatenate([[0], np.cumsum(count)])
     row = 0
     while row < len(key):
@@ -142,41 +141,82 @@ def bucket_links(key: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int)
                 distance += np.bitwise_count(fps[left, lane] ^ fps[right, lane])
             near = np.flatnonzero((distance <= radius) & (left != right))
             if len(near):
-                x, y = root[left[near]], root[right[near]]
-                ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-                top = ids[forest(at[: len(x)], at[len(x) :], len(ids))]
-                root[ids] = top
-                root = root[root]
+                yield left[near], right[near], distance[near]
         row = to
+
+
+def bucket_links(key: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (row, root) of a spanning forest of the links within the radius in each bucket."""
+    root = np.arange(len(key))
+    for left, right, _ in near_pairs(key, fps, own, radius):
+        x, y = root[left], root[right]
+        ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        root[ids] = ids[forest(at[: len(x)], at[len(x) :], len(ids))]
+        root = root[root]
     moved = np.flatnonzero(root != np.arange(len(key)))
     return moved, root[moved]
 
 
-def links(fps: DataFrame, radius: int, segments: int, width: int | None = None) -> DataFrame:
-    """a0.., b0..: a spanning forest of each bucket's links between distinct fingerprints within the radius. fps: f0, f1, ..., distinct."""
-    names = fps.columns
+def shortest_forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs make up a minimum spanning forest (Boruvka's rounds, nearest pairs first)."""
+    order = np.argsort(distance, kind="stable")
+    a, b, root, taken = a[order], b[order], np.arange(n), []
+    left = np.arange(len(a))
+    while True:
+        left = left[root[a[left]] != root[b[left]]]
+        if not len(left):
+            return order[np.unique(np.concatenate(taken))] if taken else order[:0]
+        # each tree takes its first pair; ties in distance go by place, so no ring arises
+        ends = np.concatenate([root[a[left]], root[b[left]]])
+        _, first = np.unique(ends[np.argsort(np.concatenate([left, left]), kind="stable")], return_index=True)
+        pick = np.unique(np.sort(np.concatenate([left, left]), kind="stable")[first])
+        taken.append(pick)
+        root = forest(root[a[pick]], root[b[pick]], n)[root]
+
+
+def bucket_candidates(key: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int, spare: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs to verify: all pairs within the radius in buckets that have at most ``spare`` of them a row, else a minimum spanning forest of them by distance."""
+    a, b, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
+    bucket = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    size = np.bincount(bucket)
+    found = np.zeros(len(size), np.int64)
+    for left, right, distance in near_pairs(key, fps, own, radius):
+        found += np.bincount(bucket[left], minlength=len(size))
+        a, b, d = [np.concatenate([*a, left])], [np.concatenate([*b, right])], [np.concatenate([*d, distance])]
+        many = found[bucket[a[0]]] > spare * size[bucket[a[0]]]
+        if many.any():  # what has been found so far gives way to its forest
+            at = np.flatnonzero(many)
+            kept = np.concatenate([np.flatnonzero(~many), at[shortest_forest(a[0][at], b[0][at], d[0][at], len(key))]])
+            a, b, d = [a[0][kept]], [b[0][kept]], [d[0][kept]]
+    return a[0], b[0]
+
+
+def search_buckets(fps: DataFrame, radius: int, segments: int, width: int | None, pairs_of) -> DataFrame:
+    """a, b: ids of the pairs that ``pairs_of`` (bucket_links or bucket_candidates) gives in each segment's buckets. fps: id, f0, f1, ..., distinct."""
+    names = fps.columns[1:]
     lanes = len(names)
     places = segment_places(64 * lanes, segments, width)
 
     def deal(batches):
         for batch in batches:
-            bits = np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(lanes)], axis=1)
+            ids = batch.column(0).to_numpy()
+            bits = np.stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(lanes)], axis=1)
             for i in range(0, len(bits), 2000):
                 part = bits[i : i + 2000]
                 key, row, own = probes(part, places)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), *(pa.array(part[row, j].view(np.int64)) for j in range(lanes))], names=["key", "own", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(ids[i : i + 2000][row]), *(pa.array(part[row, j].view(np.int64)) for j in range(lanes))], names=["key", "own", "id", *names])
 
-    def found(key, own, bits):
-        at, root = bucket_links(key, bits, own, radius)
-        pairs = np.concatenate([bits[at], bits[root]], axis=1).view(np.int64)
-        pairs = np.unique(pairs[(bits[at] != bits[root]).any(axis=1)], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, j]) for j in range(2 * lanes)], names=[*(f"a{j}" for j in range(lanes)), *(f"b{j}" for j in range(lanes))])
+    def found(key, own, ids, bits):
+        a, b = pairs_of(key, bits, own, radius)
+        pairs = np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], axis=1)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def search(batches):
         """Buckets arrive whole, one after the other: the last one of a batch waits for the next batch."""
         kept = None
         for batch in batches:
-            now = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), np.stack([batch.column(2 + j).to_numpy().view(np.uint64) for j in range(lanes)], axis=1)
+            now = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), np.stack([batch.column(3 + j).to_numpy().view(np.uint64) for j in range(lanes)], axis=1)
             if kept is not None:
                 now = tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
             last = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
@@ -186,23 +226,70 @@ def links(fps: DataFrame, radius: int, segments: int, width: int | None = None)
         if kept is not None and len(kept[0]):
             yield found(*kept)
 
-    dealt = fps.mapInArrow(deal, ", ".join(["key long", "own boolean", *(f"{n} long" for n in names)]))
-    dealt = dealt.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(search, ", ".join(f"{x}{j} long" for x in "ab" for j in range(lanes)))
+    dealt = fps.mapInArrow(deal, ", ".join(["key long", "own boolean", "id long", *(f"{n} long" for n in names)]))
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, lanes: int = 1, radius: int = 4, segments: int = 3, width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, f0.., component_id (the smallest doc_id reachable), n_texts: fingerprints in the component, one row per row."""
     found = checkpoint(fingerprints(docs, size, lanes, id_col, text_col))
     names = [f"f{i}" for i in range(lanes)]
-    distinct = checkpoint(found.groupBy(*names).agg(F.min("doc_id").alias("low")))
-    pairs = links(distinct.select(*names), radius, segments, width)
-    one = lambda x: F.col(f"{x}0") if lanes == 1 else F.struct(*(F.col(f"{x}{j}").alias(f"f{j}") for j in range(lanes)))
-    roots = components(pairs.select(one("a").alias("a"), one("b").alias("b")))
-    tops = distinct.select(one("f").alias("node"), "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    # a fingerprint of one number is its own id
+    distinct = found.groupBy(*names).agg(F.min("doc_id").alias("low"))
+    distinct = checkpoint(distinct.withColumn("id", F.col("f0") if lanes == 1 else F.monotonically_increasing_id()))
+    roots = components(search_buckets(distinct.select("id", *names), radius, segments, width, bucket_links))
+    tops = distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = tops.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n_texts"))
-    placed = checkpoint(tops.join(groups, "root").select("node", "component_id", "n_texts"))
-    return found.withColumn("node", one("f")).join(placed, "node").select("doc_id", *names, "component_id", "n_texts")
+    placed = checkpoint(tops.join(groups, "root").select(*names, "component_id", "n_texts"))
+    return found.join(placed, names).select("doc_id", *names, "component_id", "n_texts")
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """text_hash, shingles: the distinct hashes, cut to 32 bits, of docs (text_hash, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, size).astype(np.uint32)).view(np.int32) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["text_hash", "shingles"])
+
+    return docs.mapInArrow(run, "text_hash long, shingles array<int>")
+
+
+#: Ids of at most so many texts are sent to every task; more are joined by a shuffle.
+SENT = 1 << 20
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int = 4, radius: int = 52, segments: int = 8, width: int = 14) -> DataFrame:
+    """docs with one row of each group of near-duplicates, the one with the smallest id; all columns stay.
+
+    Two texts are alike when the Jaccard similarity of their sets of word runs is ``similarity`` or more.
+    Candidates are fingerprints of 64 * ``lanes`` bits within ``radius``, of which one of ``segments``
+    segments differs in one bit at most; each candidate pair is verified on the sets. At similarity 0.8 a
+    bit differs with probability 0.15; then 96 of 100 pairs share a segment, and 99 are within the radius.
+    In a bucket with more pairs than four a row, those of a minimum spanning forest by distance are
+    verified: with nearest pairs first, a group of many copies is connected by as many pairs as copies.
+    """
+    names = [f"f{i}" for i in range(lanes)]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    prints = checkpoint(fingerprints(keyed, size, lanes, also=("text_hash",)))
+    classes = checkpoint(prints.groupBy(*names).agg(F.min("text_hash").alias("id")))
+    pairs = checkpoint(search_buckets(classes.select("id", *names), radius, segments, width, bucket_candidates).distinct())
+    needed = checkpoint(pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct())
+    if needed.count() <= SENT:
+        needed = F.broadcast(needed)
+    sets = checkpoint(shingle_sets(keyed.select("text_hash", "text").join(needed, "text_hash", "left_semi"), size).dropDuplicates(["text_hash"]))
+    side = lambda x: sets.select(F.col("text_hash").alias(x), F.col("shingles").alias(f"s{x}"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = pairs.join(side("a"), "a").join(side("b"), "b").where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    roots = components(alike)
+    placed = prints.join(classes, names).join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
+    kept = checkpoint(best.select(F.col("best.doc_id").alias("_kept_id"), F.col("best.text_hash").alias("_kept_hash")))
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text_or_empty()))
+    left = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["_kept_id"]) & (hashed["_text_hash"] == kept["_kept_hash"]), "left_semi")
+    if not prints.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "_text_hash"])
+    return left.drop("_text_hash")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

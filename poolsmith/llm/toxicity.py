@@ -240,15 +240,20 @@ class Model:
 def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     if not toxic.any() or toxic.all():
         return Model(None, None, 0.0, (0.0, 0.0))
-    docs = [[w.decode() for w in sentence_words(t)] for t in texts]
-    plains = {w: plain(w) for d in docs for w in set(d)}
-    up, down, all_ = Counter(), Counter(), Counter()
-    seen = set()
+    # words as numbers: a row's words are held but once
+    number: dict[bytes, int] = {}
+    docs = [np.array([number.setdefault(w, len(number)) for w in sentence_words(t)], np.int32) for t in texts]
+    plains = [plain(w.decode()) for w in number]
+    ends = np.array([w[-1] in b".!?\0" for w in number])
+    names = {w: i for i, w in enumerate(sorted(set(plains) - {""}), 1)} | {"": 0}
+    of = np.array([names[w] for w in plains], np.int32)
+    up, down = Counter(), Counter()
+    seen, named = set(), list(names)[-1:] + list(names)[:-1]
     for d, y in zip(docs, toxic, strict=True):
-        own = frozenset(plains[w] for w in d) - {""}
-        # copies of a row tell nothing new
-        (up if y else down).update(own if own not in seen else ())
-        seen.add(own)
+        own = np.unique(of[d])
+        if (key := own.tobytes()) not in seen:  # copies of a row tell nothing new
+            (up if y else down).update(named[i] for i in own.tolist() if i)
+        seen.add(key)
     all_ = up + down
     # how far a word's share of toxic rows is beyond chance, in standard deviations, of words mostly found in such rows
     rate = min(0.5, up.total() / max(1, all_.total()))
@@ -256,18 +261,19 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     landmarks = sorted(far, key=lambda w: (-far[w], w))[:TOXIC_LANDMARKS]
     landmarks += [w for w, _ in sorted(down.items(), key=lambda x: (-x[1], x[0])) if w not in landmarks][:COMMON_LANDMARKS]
     kernel = Kernel(landmarks)
-    named = {w: i for i, w in enumerate(sorted(set(plains.values()) - {""}), 1)} | {"": 0}
-    like = np.zeros((len(named), len(landmarks)), np.float32)
-    if len(named) > 1:
-        like[1:] = kernel([w for w in named if w])
+    like = np.zeros((len(names), len(landmarks)), np.float32)
+    if len(names) > 1:
+        like[1:] = kernel(named[1:])
     rows, owner = [], []
     for i, d in enumerate(docs):
-        if d:
-            starts = sentence_starts(np.array([w[-1] in ".!?\0" for w in d]))
-            sentence, at = distinct_words(np.array([named[plains[w]] for w in d]), starts, len(named))
+        if len(d):
+            starts = sentence_starts(ends[d])
+            sentence, at = distinct_words(of[d], starts, len(names))
             first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
             rows.append(np.add.reduceat(like[at], first, axis=0))
             owner += [i] * len(starts)
+    if not rows:
+        return Model(None, None, 0.0, (0.0, 0.0))
     x, owner = np.concatenate(rows), np.array(owner)
     del rows, like
     values, vectors = np.linalg.eigh(kernel(landmarks))
