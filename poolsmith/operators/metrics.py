@@ -19,7 +19,7 @@ def stats(df: DataFrame, column: str, *by: str) -> DataFrame:
 
 def judged(rankings: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """The top k with their scores; unjudged pairs score 0."""
-    return rankings.where(F.col("rank") <= k).join(labels.select(*PAIR, "score"), PAIR, "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    return rankings.where(F.col("rank") <= k).select("retriever", "rank", *PAIR).join(labels.select(*PAIR, "score"), PAIR, "left").withColumn("score", F.coalesce("score", F.lit(0)))
 
 
 def _long(frame: DataFrame, keys: list[str], cells: dict[tuple[int, int], dict[str, Column]]) -> DataFrame:
@@ -127,7 +127,7 @@ def coverage_gate(covered: DataFrame) -> DataFrame:
 
 def implied_precision(rankings: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """retriever, n, lenient, strict: shares of scores 1 and 2, and of 2, among the labelled of the top k."""
-    found = rankings.where(F.col("rank") <= k).join(labels.select(*PAIR, "score"), PAIR)
+    found = rankings.where(F.col("rank") <= k).select("retriever", *PAIR).join(labels.select(*PAIR, "score"), PAIR)
     return found.groupBy("retriever").agg(F.count("*").alias("n"), F.avg((F.col("score") >= 1).cast("double")).alias("lenient"), F.avg((F.col("score") == 2).cast("double")).alias("strict"))
 
 
