@@ -14,6 +14,7 @@ other than id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -28,15 +29,63 @@ from poolsmith.llm.common import checkpoint, shared_table, table, text_or_empty
 
 LENGTH, END_ID = 4096, 2
 DIMS, BITS, BUCKETS = 4, 15, 4096
-#: A worker forgets the ids of words, or of their pieces, when it holds this many.
-WORDS = 400_000
+#: A worker forgets the ids of words when it holds this many.
+WORDS = 900_000
 #: Words of these characters alone are cut like the tokenizer does before it merges; composing and special tokens can't matter there.
 PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
+#: No byte of any text; stands for the mark that ends a word.
+END_OF_WORD = b"\xff"
+
+FORMS = [struct.Struct(f"<{n}H").pack for n in range(32)]
+
 _encoders: dict = {}
 
 
+def merges(path: str):
+    """The tokenizer's merges as ranks of byte strings, for one word at a time.
+
+    Merging any two neighbours that make up a token, lowest id first, is the same as following the list of
+    merges, as ids go by that list and each token by itself comes out of its own merge (tests check that).
+    """
+    from tiktoken._tiktoken import CoreBPE
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    with open(path) as f:
+        model = json.load(f)["model"]
+    assert model["end_of_word_suffix"] == "</w>"
+    signs = sorted(ByteLevel.alphabet(), key=ord)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    of = dict(zip((chr(b) for b in plain), plain, strict=True))
+    of |= dict(zip([c for c in signs if c not in of], [b for b in range(256) if b not in plain], strict=True))
+    ranks = {}
+    for token, i in model["vocab"].items():
+        ended = token.endswith("</w>")
+        raw = bytes(of[c] for c in token.removesuffix("</w>")) if set(token.removesuffix("</w>")) <= of.keys() else None
+        if raw and END_OF_WORD not in raw:
+            ranks[raw + END_OF_WORD * ended] = i
+    ranks[END_OF_WORD] = model["vocab"]["\u00ff"]
+    return CoreBPE(ranks, {}, r"\S+")
+
+
+class Words(dict):
+    """Ids of words as bytes; a word that isn't there yet is encoded and remembered."""
+
+    def __init__(self, tokenizer, merges):
+        self.tokenizer, self.piece = tokenizer, merges.encode_single_piece
+
+    def __missing__(self, w: bytes) -> bytes:
+        if w.isalpha():  # letters of ASCII alone
+            ids = self.piece(w.lower() + END_OF_WORD)
+        elif PLAIN.fullmatch(s := w.decode()):
+            ids = [i for x in PIECE.findall(s.lower()) for i in self.piece(x.encode() + END_OF_WORD)]
+        else:
+            ids = self.tokenizer.encode(s, add_special_tokens=False).ids
+        out = self[w] = FORMS[len(ids)](*ids) if len(ids) < len(FORMS) else np.array(ids, "<u2").tobytes()
+        return out
+
+
 class WordEncoder:
     """Ids of whole texts, encoded by the tokenizer word by word and remembered.
 
@@ -48,37 +97,26 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.pieces = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known = Words(self.tokenizer, merges(path))
         assert self.tokenizer.get_vocab_size() <= 2**16
         buckets = np.random.default_rng(7).standard_normal((BUCKETS, DIMS)).astype(np.float32)
         ids = np.arange(2**16, dtype=np.uint64)
-        self.projected = buckets[(ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % BUCKETS]
+        self.projected = np.ascontiguousarray(buckets[(ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % BUCKETS].T)
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Of each text, little-endian unsigned 16-bit ids."""
-        words = [t.split() for t in texts]
-        used = set().union(*words)
-        new = used.difference(self.known)
-        if len(self.known) + len(new) > WORDS:
+        if len(self.known) > WORDS:
             self.known.clear()
-            new = used
-        cut = {w: PIECE.findall(s.lower()) if PLAIN.fullmatch(s) else [s] for w, s in zip(new, map(bytes.decode, new), strict=True)}
-        parts = set().union(*cut.values())
-        fresh = parts.difference(self.pieces)
-        if len(self.pieces) + len(fresh) > WORDS:
-            self.pieces.clear()
-            fresh = parts
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 5000):
-            for x, e in zip(fresh[i : i + 5000], self.tokenizer.encode_batch_fast(fresh[i : i + 5000], add_special_tokens=False), strict=True):
-                self.pieces[x] = struct.pack(f"<{len(e.ids)}H", *e.ids)
-        get = self.pieces.__getitem__
-        self.known.update((w, b"".join(map(get, xs))) for w, xs in cut.items())
         end, get = struct.pack("<H", end_id), self.known.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in words]
+        return [b"".join(map(get, t.split())) + end for t in texts]
 
     def points(self, ids: list[bytes]) -> np.ndarray:
-        means = np.array([self.projected[np.frombuffer(x, "<u2")].mean(0, dtype=np.float64) for x in ids]).reshape(-1, DIMS)
+        """Each text's mean of its ids' projections, on the unit sphere."""
+        lengths = np.array([len(x) // 2 for x in ids], np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        every = np.frombuffer(b"".join(ids), "<u2")
+        means = np.stack([np.add.reduceat(column[every], starts) for column in self.projected], axis=1) / lengths[:, None]
         return means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
 
 
