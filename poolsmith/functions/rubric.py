@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +60,6 @@ def read_reply(reply: str | None, thinking: str = "") -> tuple[str | None, str,
 
 def replies(df: DataFrame, column: str = "reply") -> DataFrame:
     """df with json, thinking and error read from a judge's replies (a decoder that skips what follows the object: beyond built-in functions)."""
-    import pandas as pd
-
     @F.pandas_udf("struct<json: string, thinking: string, error: string>")
     def read(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read_reply(x) for x in s], columns=["json", "thinking", "error"])

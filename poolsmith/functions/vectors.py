@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +43,6 @@ def decode_blob(blob: bytes) -> list[float]:
 
 def blob_vector(blob: Column) -> Column:
     """Array of float from such blobs."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else decode_blob(bytes(b)))

@@ -408,6 +408,13 @@ def _(c):
     return c.select("chunk_id", F.size(X.tokens(t)).alias("n_tokens"), X.word_count(t).alias("n_words"), X.content_id(t).alias("content_id"), X.token_estimate(t).cast("long").alias("tokens_estimate"))
 
 
+@query("p1_breadcrumbs", "chunks", r"SELECT chunk_id, breadcrumb, sha256(regexp_replace(regexp_replace(text, '^([ \\t]*\\n)+', ''), '(\\n[ \\t]*)+$', '')) AS text_sha256 FROM chunks WHERE NOT starts_with(ltrim(text), '>')")
+def _(c):
+    kept = c.where(~F.startswith(F.ltrim("text"), F.lit(">")))
+    body = F.concat(F.lit("\n> "), F.replace("breadcrumb", F.lit(" > "), F.lit(" >\n> ")), F.lit("\n\n"), "text", F.lit("\n\n"))
+    return kept.select("chunk_id", X.split_breadcrumb(body).alias("s")).select("chunk_id", "s.breadcrumb", F.sha2("s.text", 256).alias("text_sha256"))
+
+
 @query("p3_f9_sections", "chunks", "SELECT chunk_id, trim(split_part(breadcrumb, '>', 1)) AS section, split_part(breadcrumb, ' > ', 1) AS topic, concat(CAST(pos AS VARCHAR), '::', chunk_id) AS pair, printf('q_%05d', pos) AS query_id FROM chunks")
 def _(c):
     b = F.col("breadcrumb")
@@ -530,3 +537,16 @@ def _(q, c):
     encode = retrieval.hashing_encoder()
     asked = retrieval.encoded(q, encode, "query_text").select("query_id", "embedding")
     return retrieval.dense(asked, retrieval.encoded(c, encode).select("chunk_id", "embedding"), 5).withColumn("score", F.round("score", 6))
+
+
+# --- extras: incremental arrivals, on the platform's own windows ---------------------------------
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from poolsmith.streaming.judging import arrivals
+
+    return arrivals(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+QUERIES["extra_arrival_windows"] = _arrivals
+SQL["extra_arrival_windows"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"

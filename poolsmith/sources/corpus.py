@@ -27,8 +27,8 @@ def raw_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def strict_chunks(spark: SparkSession, path: str) -> DataFrame:
     """chunk_id, source, page, breadcrumb, text, pos. A header that isn't well-formed, or text before the first, raises an error."""
-    rows = raw_chunks(spark, path).where("header != '' OR trim(body) != ''")
-    found = rows.select("pos", F.regexp_extract("header", STRICT, 1).alias("source"), F.regexp_extract("header", STRICT, 2).cast("int").alias("page"), F.regexp_extract("header", STRICT, 3).alias("chunk_id"), X.split_breadcrumb(F.col("body")).alias("b"), "header")
+    rows = raw_chunks(spark, path).where(F.rlike(F.concat("header", "body"), F.lit(r"\S")))
+    found = rows.select("pos", F.regexp_extract("header", STRICT, 1).alias("source"), F.regexp_extract("header", STRICT, 2).try_cast("int").alias("page"), F.regexp_extract("header", STRICT, 3).alias("chunk_id"), X.split_breadcrumb(F.col("body")).alias("b"), "header")
     source = F.when(F.col("source") != "", F.col("source")).otherwise(F.raise_error(F.concat(F.lit("not a chunk header: "), F.col("header"))))
     return found.select("chunk_id", source.alias("source"), "page", "b.breadcrumb", "b.text", "pos")
 
