@@ -16,6 +16,7 @@ out or not like the text "" does; repeated rows are scored each; without labels
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -302,13 +303,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> Model:
     """A model from at most ``sample`` labelled rows, none of them held out."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    toxic = {r["doc_id"]: r["toxic"] for r in chosen}
-    if not toxic:
+    if not chosen:
         return Model(None, None, 0.0, (0.0, 0.0))
     # at most ``sample`` ids
-    ids = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in toxic], "doc_id long"))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(sample).collect()
-    return train([r["text"].encode() for r in rows], np.array([toxic[r["doc_id"]] > 0 for r in rows], bool))
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in chosen], "doc_id long, toxic int"))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column(1).cast(pa.binary()).to_pylist()
+            toxic += batch.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(toxic, np.int64) > 0))], pa.binary())], names=["model"])
+
+    # one task trains on the bounded sample; only the model comes to the driver
+    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else Model(None, None, 0.0, (0.0, 0.0))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
