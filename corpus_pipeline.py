@@ -9,15 +9,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from poolsmith.llm import exact_dedup, packing, pii, simhash, toxicity
-from poolsmith.llm.common import shared_dir, table
+from poolsmith.llm.common import fresh, shared_dir, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the model, trained on labelled rows that are not held out, scores as toxic go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where(f"toxicity < {toxicity.CUT}").drop("toxicity")
+    score = fresh("toxicity", docs.columns)
+    return toxicity.scored(docs, model, out=score).where(F.col(score) < toxicity.CUT).drop(score)
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,11 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, or one made longer, that no column has (whatever its case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

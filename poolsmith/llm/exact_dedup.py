@@ -17,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poolsmith.llm.common import checkpoint, shared_table
+from poolsmith.llm.common import checkpoint, fresh, shared_table
 
 #: Bits that one look at the counts resolves: at most 2 ** STEP slots come to the driver for each overfull one.
 STEP = 10
+#: The directory's slots number 2 ** DEEPEST at most; a bucket that is overfull there stays one, and is only longer.
+DEEPEST = 16
 
 
 def directory(entries: DataFrame, capacity: int) -> tuple[int, list[int]]:
@@ -37,7 +39,7 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, list[int]]:
         """Split the bucket until its halves fit; gives the prefixes that are overfull at the bottom."""
         low, high = prefix << (bottom - depth), (prefix + 1) << (bottom - depth)
         n = sum(v for k, v in leaf.items() if low <= k < high)
-        if n <= capacity or depth == 64:
+        if n <= capacity or depth == DEEPEST:
             depths[depth, prefix] = n
             return []
         if depth == bottom:
@@ -46,7 +48,7 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, list[int]]:
 
     depth, open_ = 0, [0]
     while open_:
-        bottom = min(64, depth + STEP)
+        bottom = min(DEEPEST, depth + STEP)
         rows = entries if depth == 0 else entries.where(slot(depth).isin(open_))
         leaf = {r["s"]: r["n"] for r in rows.groupBy(slot(bottom).alias("s")).agg(F.count("*").alias("n")).collect()}
         leaf = {k % 2**bottom: v for k, v in leaf.items()}
@@ -86,15 +88,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops; all columns stay."""
     found = exact_dedup(docs)
-    kept = found.where("kept").select("doc_id", "text_sha256")
     # rows equal in id and text can't be told apart by these: their surplus is dropped by id and digest
-    again = checkpoint(found.where("not kept and doc_id <=> keep_id").select("doc_id", "text_sha256").distinct())
-    keyed = docs.withColumn("_text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    left = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_text_sha256"] == kept["_kept_sha"]), "left_semi")
+    again = checkpoint(found.where("not kept and doc_id <=> keep_id").select("doc_id").distinct())
+    sha, kept_id, kept_sha = (fresh(n, docs.columns) for n in ("_sha", "_kept_id", "_kept_sha"))
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+    kept = found.where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    left = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept[kept_id]) & (keyed[sha] == kept[kept_sha]), "left_semi")
     if not again.isEmpty():
-        left = left.dropDuplicates(["doc_id", "_text_sha256"])
-    return left.drop("_text_sha256")
+        left = left.dropDuplicates(["doc_id", sha])
+    return left.drop(sha)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -181,6 +181,8 @@ class Page:
                     self._close("p" if tag == "p" else tag)
                 elif tag == "br":
                     self.text.append(" ")
+                elif tag in ("script", "style"):
+                    at = _raw_end(html, tag, at)
                 elif tag in _VOID:
                     if tag not in _INLINE:
                         self._flush()
@@ -240,7 +242,7 @@ def template_of(rows: pd.DataFrame) -> pd.DataFrame:
             own = set(group["token"])
             if len(own) < 2 or not group["tag"].any() or own <= valid.keys():
                 continue
-            if all(p in valid or p in own for p in group["parent"]):
+            if all(p in valid or p in own for p in group.loc[group["tag"], "parent"]):
                 valid.update(dict.fromkeys(own, True))
                 changed = True
     kept = rows[rows["token"].isin(valid.keys())]

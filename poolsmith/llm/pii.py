@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolsmith.llm.common import checkpoint, shared_table, table, text_or_empty
+from poolsmith.llm.common import checkpoint, fresh, shared_table, table, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 CONFIDENCE, SUPPORT, ROUNDS = 0.8, 3, 3
@@ -107,8 +107,8 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep..., row, base (spans as text), counts by kind, and around: each seed and candidate with its patterns."""
+def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), row_col: str | None = None) -> DataFrame:
+    """keep..., row (row_col, or made here), base (spans as text), counts by kind, and around: each seed and candidate with its patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spot = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
             names = [*keep, "row", "base", *(f"n_{k}" for k in KINDS[:4]), "around"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep) + 1)), pa.array(base, pa.string()), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(around, spot)], names=names)
 
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     source = docs.select(*keep, row.alias("row"), text_or_empty(text_col).alias("text"))
     kinds = ", ".join(f"{c} {dict(source.dtypes)[c]}" for c in keep)
     return source.mapInArrow(run, ", ".join(filter(None, [kinds, "row long, base string, "])) + ", ".join(f"n_{k} long" for k in KINDS[:4]) + ", around array<struct<start: long, end: long, seed: boolean, instance: long, patterns: array<long>>>")
@@ -151,9 +151,9 @@ def confident_patterns(scanned: DataFrame, confidence: float = CONFIDENCE, suppo
     return scored.where(F.col("confidence") >= confidence)
 
 
-def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), row_col: str | None = None) -> DataFrame:
     """keep..., row, counts, base and spans (kind:start:end, comma-joined, by start and kind), n_found."""
-    scanned = shared_table(scan(docs, text_col, keep), "pii")
+    scanned = shared_table(scan(docs, text_col, keep, row_col), "pii")
     good = confident_patterns(scanned)
     spots = scanned.select("row", F.explode(F.filter("around", lambda s: ~s["seed"])).alias("s")).select("row", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
     found = spots.join(good.select("pattern"), "pattern").select("row", "start", "end").distinct()
@@ -177,9 +177,10 @@ def redacted(text: str, spans: str) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with personal data replaced in the text; all columns stay, a null text stays null. length_col: gets the text's length, where neither is null."""
-    numbered = shared_table(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
-    found = find(numbered, text_col, ()).where("spans != ''").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
     names = docs.columns
+    row, spans = fresh("_row", names), fresh("_spans", names)
+    numbered = shared_table(docs.withColumn(row, F.monotonically_increasing_id()), "pii-docs")
+    found = find(numbered, text_col, (), row).where("spans != ''").select(F.col("row").alias(row), F.col("spans").alias(spans))
     where = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
             texts = [redacted(t, s) if t is not None and s else t for t, s in zip(batch.column(where).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(where).type) if i == where else batch.column(i) for i in range(len(names))], schema=pa.schema([batch.schema.field(i) for i in range(len(names))]))
 
-    out = numbered.join(found, "_row", "left").select(*names, "_spans").mapInArrow(run, docs.schema)
+    out = numbered.join(found, row, "left").select(*names, spans).mapInArrow(run, docs.schema)
     if length_col in names:
         changed = F.col(length_col).isNotNull() & F.col(text_col).isNotNull()
         out = out.withColumn(length_col, F.when(changed, F.char_length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)).select(*names)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolsmith.llm.common import checkpoint, table, text_or_empty
+from poolsmith.llm.common import checkpoint, fresh, table, text_or_empty
 from poolsmith.llm.components import components
 
 SEED = 42
@@ -284,12 +284,13 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int
     roots = components(alike)
     placed = prints.join(classes, names).join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
-    kept = checkpoint(best.select(F.col("best.doc_id").alias("_kept_id"), F.col("best.text_hash").alias("_kept_hash")))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(text_or_empty()))
-    left = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["_kept_id"]) & (hashed["_text_hash"] == kept["_kept_hash"]), "left_semi")
+    key, kept_id, kept_hash = (fresh(n, docs.columns) for n in ("_hash", "_kept_id", "_kept_hash"))
+    kept = checkpoint(best.select(F.col("best.doc_id").alias(kept_id), F.col("best.text_hash").alias(kept_hash)))
+    hashed = docs.withColumn(key, F.xxhash64(text_or_empty()))
+    left = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept[kept_id]) & (hashed[key] == kept[kept_hash]), "left_semi")
     if not prints.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "_text_hash"])
-    return left.drop("_text_hash")
+        left = left.dropDuplicates(["doc_id", key])
+    return left.drop(key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolsmith.llm.common import table, text_or_empty
+from poolsmith.llm.common import fresh, table, text_or_empty
 
 #: At most so many labelled rows, those with the smallest hashes of their ids, are trained on.
 LABELLED = 3000
@@ -35,6 +35,7 @@ TOXIC_LANDMARKS, COMMON_LANDMARKS = 64, 8
 SPAN, DECAY, POWER = 5, 0.7, 4
 #: Sentences are cut after so many words.
 SENTENCE = 64
+ROUNDS, COST = 4, 10.0
 CUT = 0.7
 #: A worker forgets words' shares when it holds this many.
 WORDS = 500_000
@@ -117,8 +118,9 @@ class Kernel:
         return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float | None = None, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
+    cost = COST if cost is None else cost
     z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(z.shape[1])
     ridge = np.eye(len(w))
@@ -283,12 +285,17 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     decision = x[:, : min(TOXIC_LANDMARKS, len(far))].sum(1)
     share, bias = np.zeros(len(landmarks)), 0.0
-    for _ in range(5):
-        worst = np.array([a + int(np.argmax(decision[a:b])) for a, b in zip(first, [*first[1:], len(owner)], strict=True)])
-        y = np.where(toxic[owner[worst]], 1.0, -1.0)
-        beta, bias = svm(z[worst].astype(np.float64), y, np.where(y > 0, 1.0 / max(1e-9, (y > 0).mean()), 1.0 / max(1e-9, (y < 0).mean())) / 2)
+    marked = decision >= 0.5
+    for _ in range(ROUNDS):
+        worst = np.zeros(len(owner), bool)
+        worst[[a + int(np.argmax(decision[a:b])) for a, b in zip(first, [*first[1:], len(owner)], strict=True)]] = True
+        # of a toxic row each sentence found toxic so far, and the worst one in any case; of another row the worst one
+        used = np.flatnonzero(worst | marked & toxic[owner])
+        y = np.where(toxic[owner[used]], 1.0, -1.0)
+        beta, bias = svm(z[used].astype(np.float64), y, np.where(y > 0, 1.0 / max(1e-9, (y > 0).mean()), 1.0 / max(1e-9, (y < 0).mean())) / 2)
         share = root @ beta
         decision = x @ share + bias
+        marked = decision >= 0
     model = Model(kernel, share, bias, (1.0, 0.0))
     model.scale = logistic(model.decisions(texts), toxic.astype(float))
     return model
@@ -321,8 +328,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> Model:
     return pickle.loads(found["model"]) if found else Model(None, None, 0.0, (0.0, 0.0))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with a column ``toxicity``."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
+    """docs with a column ``out``."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,11 +337,11 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 found = model.scores([t or b"" for t in part.column(len(names)).cast(pa.binary()).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(len(names))), pa.array(found)], schema=pa.schema([*(part.schema.field(j) for j in range(len(names))), ("toxicity", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(len(names))), pa.array(found)], schema=pa.schema([*(part.schema.field(j) for j in range(len(names))), (out, pa.float64())]))
 
     from pyspark.sql import types as T
 
-    return docs.select(*names, text_or_empty(text_col).alias("_scored_text")).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.select(*names, text_or_empty(text_col).alias(fresh("_text", names))).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
