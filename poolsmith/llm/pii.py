@@ -66,7 +66,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end), sorted."""
     out = [(a, 0, b) for a, b in emails(text)]
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = m[0].replace(" ", "").replace("-", "")

@@ -41,6 +41,11 @@ def test_base_spans():
     assert pii.base_spans("x 4111 1111 1111 1111, +1 (499) 555-6503, 8.8.8.8, a.b@c.de") == brute_spans("x 4111 1111 1111 1111, +1 (499) 555-6503, 8.8.8.8, a.b@c.de") != []
 
 
+def test_parts_of_very_many_digits():
+    zeros = "0" * 6000
+    assert [k for _, k, _ in pii.base_spans(f"{zeros}1.2.3.{zeros} 1.2.3.{'9' * 6000}")] == [1]
+
+
 def test_pii_query(spark):
     docs = documents(spark)
     for f in pii.query(spark, SF).collect():
