@@ -81,7 +81,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = checkpoint(groups.select("h", "digest", "chain", "group_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.rid").alias("keep_rid")))
     depth, slots = directory(groups, capacity)
     at = F.lit(1) if depth == 0 else F.shiftrightunsigned("h", 64 - depth) + 1
-    index = shared_table(groups.withColumn("bucket", F.element_at(F.lit(slots), at.cast("int"))).repartitionByRange("bucket", "h", "digest", "chain").sortWithinPartitions("bucket", "h"), "exact-index")
+    # one literal, however many slots: folded into an array when the plan is made
+    directory_ = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<int>")
+    index = shared_table(groups.withColumn("bucket", F.element_at(directory_, at.cast("int"))).repartitionByRange("bucket", "h", "digest", "chain").sortWithinPartitions("bucket", "h"), "exact-index")
     return rows.join(index, ["h", "digest", "chain"]).select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", "bucket", F.when(F.col("chain") != "", F.sha2("chain", 256)).alias("chain"))
 
 
