@@ -65,18 +65,27 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, also..., f0, f1, ...: one row per row; signed longs with the fingerprint's bits. also: further long columns to keep."""
+def fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = (), sets: bool = False) -> DataFrame:
+    """doc_id, also..., f0, f1, ...: one row per row; signed longs with the fingerprint's bits. also: further long columns to keep.
+
+    sets: repeats of a shingle count once, and a column ``set`` holds a hash of the whole set.
+    """
+    from xxhash import xxh64_digest
+
     names = [f"f{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(shingle_hashes(t, size), lanes) for t in batch.column(1 + len(also)).cast(pa.binary()).to_pylist()]
-            bits = np.array(found, np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1 + len(also))), *(pa.array(bits[:, i]) for i in range(lanes))], names=["doc_id", *also, *names])
+            hashes = (shingle_hashes(t, size) for t in batch.column(1 + len(also)).cast(pa.binary()).to_pylist())
+            if sets:
+                found = [np.append(fingerprint(x, lanes), np.frombuffer(xxh64_digest(x.tobytes()), np.uint64)) for x in map(np.unique, hashes)]
+            else:
+                found = [fingerprint(x, lanes) for x in hashes]
+            bits = np.array(found, np.uint64).reshape(-1, lanes + sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1 + len(also))), *(pa.array(bits[:, i]) for i in range(lanes + sets))], names=["doc_id", *also, *names, *["set"] * sets])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *also, text_or_empty(text_col).alias("text"))
-    return base.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in also), *(f"{n} long" for n in names)]))
+    return base.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in also), *(f"{n} long" for n in names), *["set long"] * sets]))
 
 
 def segment_places(bits: int, segments: int, width: int | None) -> list[tuple[int, int]]:
@@ -271,8 +280,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int
     """
     names = [f"f{i}" for i in range(lanes)]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    prints = checkpoint(fingerprints(keyed, size, lanes, also=("text_hash",)))
-    classes = checkpoint(prints.groupBy(*names).agg(F.min("text_hash").alias("id")))
+    prints = checkpoint(fingerprints(keyed, size, lanes, also=("text_hash",), sets=True))
+    # texts of one set of shingles are one class; of equal fingerprints with different sets, each class is verified
+    classes = checkpoint(prints.groupBy("set", *names).agg(F.min("text_hash").alias("id")))
     pairs = checkpoint(search_buckets(classes.select("id", *names), radius, segments, width, bucket_candidates).distinct())
     needed = checkpoint(pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct())
     if needed.count() <= SENT:
@@ -282,7 +292,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int
     common = F.size(F.array_intersect("sa", "sb"))
     alike = pairs.join(side("a"), "a").join(side("b"), "b").where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
     roots = components(alike)
-    placed = prints.join(classes, names).join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
+    placed = prints.join(classes, ["set", *names]).join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
     key, kept_id, kept_hash = (fresh(n, docs.columns) for n in ("_hash", "_kept_id", "_kept_hash"))
     kept = checkpoint(best.select(F.col("best.doc_id").alias(kept_id), F.col("best.text_hash").alias(kept_hash)))

@@ -138,6 +138,16 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == firsts
 
 
+def test_repeated_lines_make_no_copies(spark):
+    """What repeats outweighs the rest in a count of all shingles, not in the sets that decide."""
+    r = random.Random(9)
+    prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    docs = [prose() + " the same line again and again" * 300 for _ in range(6)]
+    docs += [docs[0] + " the same line again and again", docs[1].upper()]
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert sorted(x["doc_id"] for x in kept) == [0, 1, 2, 3, 4, 5]
+
+
 def test_recall_at_the_bound():
     """Pairs at a similarity of 0.8 and a little more: shared segment, and within the radius."""
     r = random.Random(7)
