@@ -19,7 +19,7 @@ def corpus(tmp_path_factory, spark):
     rows, kinds = [], {}
     for i in range(300):
         kinds[i] = "toxic" if i % 5 == 0 else "clean"
-        rows.append((i, prose()[:-1] + " " + " ".join(r.choice(INSULTS) for _ in range(4)) + "." if i % 5 == 0 else prose()))
+        rows.append((i, prose()[:-1] + " " + " ".join(r.sample(INSULTS, 4)) + "." if i % 5 == 0 else prose()))
     for i, of in enumerate((1, 1, 2, 3)):
         rows.append((400 + i, rows[of][1]))
         kinds[400 + i] = "copy"
