@@ -183,8 +183,8 @@ def shortest_forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray, n: int)
         root = forest(root[a[pick]], root[b[pick]], n)[root]
 
 
-def bucket_candidates(key: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int, spare: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of pairs to verify: all pairs within the radius in buckets that have at most ``spare`` of them a row, else a minimum spanning forest of them by distance."""
+def bucket_candidates(key: np.ndarray, fps: np.ndarray, own: np.ndarray, radius: int, spare: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of pairs to verify first, and whether others of their bucket are left: all pairs within the radius in buckets that have at most ``spare`` of them a row, else a minimum spanning forest of them by distance."""
     a, b, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
     bucket = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     size = np.bincount(bucket)
@@ -197,11 +197,67 @@ def bucket_candidates(key: np.ndarray, fps: np.ndarray, own: np.ndarray, radius:
             at = np.flatnonzero(many)
             kept = np.concatenate([np.flatnonzero(~many), at[shortest_forest(a[0][at], b[0][at], d[0][at], len(key))]])
             a, b, d = [a[0][kept]], [b[0][kept]], [d[0][kept]]
-    return a[0], b[0]
+    return a[0], b[0], found[bucket[a[0]]] > spare * size[bucket[a[0]]]
+
+
+def set_links(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of links that connect what all pairs of sets as alike as ``similarity`` connect; rows of one root are connected already."""
+    n, sizes = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    tree = np.unique(root, return_inverse=True)[1]
+    left, right = [], []
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    # postings of each shingle: the rows that hold it
+    rows = np.repeat(np.arange(n), sizes)[np.argsort(code, kind="stable")]
+    count = np.bincount(code, minlength=len(values))
+    starts, ends = np.cumsum(count) - count, np.cumsum(sizes)
+    for i in range(n):
+        if (tree == tree[0]).all():
+            break
+        own = code[ends[i] - sizes[i] : ends[i]]
+        own = own[count[own] > 1]
+        many = count[own]
+        at = np.arange(many.sum()) + np.repeat(starts[own] - np.cumsum(many) + many, many)
+        common = np.bincount(rows[at], minlength=n)
+        hits = np.flatnonzero((tree != tree[i]) & (common >= similarity * (sizes[i] + sizes - common)))
+        if len(hits):
+            others, first = np.unique(tree[hits], return_index=True)
+            left.append(np.full(len(others), i)), right.append(hits[first])
+            tree[np.isin(tree, others)] = tree[i]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def verify_buckets(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect what all pairs alike in a bucket connect. members: key, id, root, shingles; no pair is given out but a link."""
+
+    def links(ids, root, sets):
+        a, b = set_links(sets, np.array(root), similarity)
+        ids = np.array(ids)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets arrive whole, one after the other."""
+        last, ids, root, sets = None, [], [], []
+        for batch in batches:
+            keys, all_ids, all_roots = (batch.column(i).to_pylist() for i in range(3))
+            values, places = batch.column(3).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(3).value_lengths().to_numpy())])
+            for i, k in enumerate(keys):
+                if k != last:
+                    if len(ids) > 1:
+                        yield links(ids, root, sets)
+                    last, ids, root, sets = k, [], [], []
+                ids.append(all_ids[i]), root.append(all_roots[i]), sets.append(values[places[i] : places[i + 1]])
+        if len(ids) > 1:
+            yield links(ids, root, sets)
+
+    return members.select("key", "id", "root", "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def search_buckets(fps: DataFrame, radius: int, segments: int, width: int | None, pairs_of) -> DataFrame:
-    """a, b: ids of the pairs that ``pairs_of`` (bucket_links or bucket_candidates) gives in each segment's buckets. fps: id, f0, f1, ..., distinct."""
+    """a, b, more: ids of the pairs that ``pairs_of`` (bucket_links or bucket_candidates) gives in each segment's buckets. fps: id, f0, f1, ..., distinct.
+
+    more: the bucket, where pairs_of says that other pairs of it are left, else -1.
+    """
     names = fps.columns[1:]
     lanes = len(names)
     places = segment_places(64 * lanes, segments, width)
@@ -216,10 +272,11 @@ def search_buckets(fps: DataFrame, radius: int, segments: int, width: int | None
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(ids[i : i + 2000][row]), *(pa.array(part[row, j].view(np.int64)) for j in range(lanes))], names=["key", "own", "id", *names])
 
     def found(key, own, ids, bits):
-        a, b = pairs_of(key, bits, own, radius)
-        pairs = np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], axis=1)
+        a, b, *more = pairs_of(key, bits, own, radius)
+        more = np.where(more[0], key[a], -1) if more else np.full(len(a), -1)
+        pairs = np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), more], axis=1)
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], names=["a", "b", "more"])
 
     def search(batches):
         """Buckets arrive whole, one after the other: the last one of a batch waits for the next batch."""
@@ -236,7 +293,7 @@ def search_buckets(fps: DataFrame, radius: int, segments: int, width: int | None
             yield found(*kept)
 
     dealt = fps.mapInArrow(deal, ", ".join(["key long", "own boolean", "id long", *(f"{n} long" for n in names)]))
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, more long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, lanes: int = 1, radius: int = 4, segments: int = 3, width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,6 +321,15 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "text_hash long, shingles array<int>")
 
 
+def verify_rest(candidates: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between texts of different roots, of buckets in which only a forest was verified."""
+    crowded = candidates.where("more >= 0")
+    members = crowded.select(F.col("more").alias("key"), F.col("a").alias("id")).union(crowded.select("more", "b")).distinct()
+    members = checkpoint(members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    open_ = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return checkpoint(verify_buckets(members.join(open_, "key", "left_semi").join(sets.withColumnRenamed("text_hash", "id"), "id"), similarity))
+
+
 #: Ids of at most so many texts are sent to every task; more are joined by a shuffle.
 SENT = 1 << 20
 
@@ -276,14 +342,17 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int
     segments differs in one bit at most; each candidate pair is verified on the sets. At similarity 0.8 a
     bit differs with probability 0.15; then 96 of 100 pairs share a segment, and 99 are within the radius.
     In a bucket with more pairs than four a row, those of a minimum spanning forest by distance are
-    verified: with nearest pairs first, a group of many copies is connected by as many pairs as copies.
+    verified first: with nearest pairs first, a group of many copies is mostly connected by as many pairs as
+    copies. Where it is not, and rows of the bucket are still in several groups, all pairs between those groups
+    are verified in the bucket's task, which gives out only the links that join groups.
     """
     names = [f"f{i}" for i in range(lanes)]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
     prints = checkpoint(fingerprints(keyed, size, lanes, also=("text_hash",), sets=True))
     # texts of one set of shingles are one class; of equal fingerprints with different sets, each class is verified
     classes = checkpoint(prints.groupBy("set", *names).agg(F.min("text_hash").alias("id")))
-    pairs = checkpoint(search_buckets(classes.select("id", *names), radius, segments, width, bucket_candidates).distinct())
+    candidates = checkpoint(search_buckets(classes.select("id", *names), radius, segments, width, bucket_candidates))
+    pairs = checkpoint(candidates.select("a", "b").distinct())
     needed = checkpoint(pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct())
     if needed.count() <= SENT:
         needed = F.broadcast(needed)
@@ -291,7 +360,11 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int
     side = lambda x: sets.select(F.col("text_hash").alias(x), F.col("shingles").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
     alike = pairs.join(side("a"), "a").join(side("b"), "b").where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    alike = checkpoint(alike)
     roots = components(alike)
+    rest = verify_rest(candidates, roots, sets, similarity)
+    if not rest.isEmpty():
+        roots = components(alike.union(rest))
     placed = prints.join(classes, ["set", *names]).join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
     key, kept_id, kept_hash = (fresh(n, docs.columns) for n in ("_hash", "_kept_id", "_kept_hash"))

@@ -164,3 +164,39 @@ def test_recall_at_the_bound():
         order = np.argsort(key, kind="stable")
         hit += len(simhash.bucket_candidates(key[order], fps[row[order]], own[order], 52)[0]) > 0
     assert hit >= 190
+
+
+def jaccard_groups(docs, similarity=0.8):
+    """Groups by brute force over all pairs of sets of five-word runs."""
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).astype(np.uint32).tolist()) for t in docs]
+    alike = [(a, b) for a in range(len(docs)) for b in range(a) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return groups_of(len(docs), alike), alike
+
+
+def edited_copies(r, n, words, edits):
+    text = [f"w{r.random()}" for _ in range(words)]
+    docs = []
+    for _ in range(n):
+        edited = list(text)
+        for at in r.sample(range(words), r.choice(edits)):
+            edited[at] = f"v{r.random()}"
+        docs.append(" ".join(edited))
+    return docs
+
+
+def test_set_links():
+    r = np.random.default_rng(10)
+    sets = [np.unique(np.concatenate([r.choice(40, r.integers(0, 30), replace=False), r.integers(1000, 10**6, r.integers(0, 4))])).astype(np.int32) for _ in range(200)]
+    known = [(i, i + 1) for i in range(0, 60, 2)]
+    alike = [(a, b) for a in range(200) for b in range(a) if len(sets[a]) + len(sets[b]) and len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))]
+    a, b = simhash.set_links(sets, np.array(groups_of(200, known)), 0.6)
+    assert groups_of(200, known + list(zip(a.tolist(), b.tolist(), strict=True))) == groups_of(200, known + alike) and 0 < len(a) < 200
+
+
+def test_crowded_groups_at_the_bound_stay_whole(spark):
+    """Many copies of one text, pairs of which are near a similarity of 0.8 on both sides of it: as brute force over all pairs."""
+    r = random.Random(11)
+    docs = edited_copies(r, 300, 204, (3, 4)) + edited_copies(r, 200, 104, (1, 2))
+    want, _ = jaccard_groups(docs)
+    kept = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert kept == set(want)
