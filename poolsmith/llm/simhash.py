@@ -30,6 +30,8 @@ from poolsmith.llm.components import components
 SEED = 42
 #: Pairs whose distance is worked out at once.
 BLOCK = 1 << 21
+#: Sets of at most SHORT shingles are searched for like ones exactly; sets of up to LISTED are looked through for them.
+SHORT, LISTED = 64, 80
 
 
 def shingle_hashes(text: bytes, size: int, seed: int = SEED) -> np.ndarray:
@@ -65,10 +67,16 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return out
 
 
+def cut_set(hashes: np.ndarray) -> np.ndarray:
+    """The distinct hashes, cut to 32 bits."""
+    return np.unique(hashes.astype(np.uint32)).view(np.int32)
+
+
 def fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = (), sets: bool = False) -> DataFrame:
     """doc_id, also..., f0, f1, ...: one row per row; signed longs with the fingerprint's bits. also: further long columns to keep.
 
-    sets: repeats of a shingle count once, and a column ``set`` holds a hash of the whole set.
+    sets: repeats of a shingle count once, a column ``set`` holds a hash of the whole set, and a column
+    ``shingles`` the set itself as in shingle_sets, where it has at most LISTED.
     """
     from xxhash import xxh64_digest
 
@@ -77,15 +85,19 @@ def fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = (shingle_hashes(t, size) for t in batch.column(1 + len(also)).cast(pa.binary()).to_pylist())
+            listed = []
             if sets:
-                found = [np.append(fingerprint(x, lanes), np.frombuffer(xxh64_digest(x.tobytes()), np.uint64)) for x in map(np.unique, hashes)]
+                found = []
+                for x in map(np.unique, hashes):
+                    found.append(np.append(fingerprint(x, lanes), np.frombuffer(xxh64_digest(x.tobytes()), np.uint64)))
+                    listed.append(cut_set(x) if len(x) <= LISTED else None)
             else:
                 found = [fingerprint(x, lanes) for x in hashes]
             bits = np.array(found, np.uint64).reshape(-1, lanes + sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1 + len(also))), *(pa.array(bits[:, i]) for i in range(lanes + sets))], names=["doc_id", *also, *names, *["set"] * sets])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1 + len(also))), *(pa.array(bits[:, i]) for i in range(lanes + sets)), *[pa.array(listed, pa.list_(pa.int32()))] * sets], names=["doc_id", *also, *names, *["set", "shingles"] * sets])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *also, text_or_empty(text_col).alias("text"))
-    return base.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in also), *(f"{n} long" for n in names), *["set long"] * sets]))
+    return base.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in also), *(f"{n} long" for n in names), *["set long", "shingles array<int>"] * sets]))
 
 
 def segment_places(bits: int, segments: int, width: int | None) -> list[tuple[int, int]]:
@@ -315,7 +327,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, size).astype(np.uint32)).view(np.int32) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [cut_set(shingle_hashes(t, size)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["text_hash", "shingles"])
 
     return docs.mapInArrow(run, "text_hash long, shingles array<int>")
@@ -330,6 +342,25 @@ def verify_rest(candidates: DataFrame, roots: DataFrame, sets: DataFrame, simila
     return checkpoint(verify_buckets(members.join(open_, "key", "left_semi").join(sets.withColumnRenamed("text_hash", "id"), "id"), similarity))
 
 
+def short_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect what all pairs alike connect, of which one has at most SHORT shingles. classes: id, shingles.
+
+    Two sets of a similarity share one of the first n - ceil(similarity * n) + 1 shingles of either, in any
+    order that both follow (prefix filter). The rarest come first; shingles of one set take a place only.
+    """
+    assert LISTED * similarity >= SHORT
+    short = classes.where(F.col("shingles").isNotNull()).select("id", "shingles")
+    tokens = short.select("id", F.explode("shingles").alias("t"))
+    shared = tokens.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = tokens.join(shared, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("ts")).join(short, "id")
+    n = F.size("shingles")
+    # hair's breadth: 0.8 * 15 must not count as above 12
+    first = n - F.ceil(F.lit(similarity) * n - 1e-9) + 1 - (n - F.size("ts"))
+    keyed = ordered.withColumn("first", first.cast("int")).where("first > 0").select(F.explode(F.expr("slice(ts, 1, first)")).alias("x"), "id", "shingles")
+    members = keyed.select(F.col("x.t").cast("long").alias("key"), "id", F.col("id").alias("root"), "shingles")
+    return checkpoint(verify_buckets(members, similarity).distinct())
+
+
 #: Ids of at most so many texts are sent to every task; more are joined by a shuffle.
 SENT = 1 << 20
 
@@ -338,7 +369,8 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int
     """docs with one row of each group of near-duplicates, the one with the smallest id; all columns stay.
 
     Two texts are alike when the Jaccard similarity of their sets of word runs is ``similarity`` or more.
-    Candidates are fingerprints of 64 * ``lanes`` bits within ``radius``, of which one of ``segments``
+    Pairs of which one has at most SHORT distinct word runs are all found, see short_links. Of longer ones,
+    candidates are fingerprints of 64 * ``lanes`` bits within ``radius``, of which one of ``segments``
     segments differs in one bit at most; each candidate pair is verified on the sets. At similarity 0.8 a
     bit differs with probability 0.15; then 96 of 100 pairs share a segment, and 99 are within the radius.
     In a bucket with more pairs than four a row, those of a minimum spanning forest by distance are
@@ -350,8 +382,10 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
     prints = checkpoint(fingerprints(keyed, size, lanes, also=("text_hash",), sets=True))
     # texts of one set of shingles are one class; of equal fingerprints with different sets, each class is verified
-    classes = checkpoint(prints.groupBy("set", *names).agg(F.min("text_hash").alias("id")))
-    candidates = checkpoint(search_buckets(classes.select("id", *names), radius, segments, width, bucket_candidates))
+    classes = checkpoint(prints.groupBy("set", *names).agg(F.min("text_hash").alias("id"), F.first("shingles").alias("shingles")))
+    short = short_links(classes, similarity)
+    long = classes.where(F.col("shingles").isNull() | (F.size("shingles") > SHORT))
+    candidates = checkpoint(search_buckets(long.select("id", *names), radius, segments, width, bucket_candidates))
     pairs = checkpoint(candidates.select("a", "b").distinct())
     needed = checkpoint(pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct())
     if needed.count() <= SENT:
@@ -360,12 +394,12 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int
     side = lambda x: sets.select(F.col("text_hash").alias(x), F.col("shingles").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
     alike = pairs.join(side("a"), "a").join(side("b"), "b").where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    alike = checkpoint(alike)
+    alike = checkpoint(alike.union(short))
     roots = components(alike)
     rest = verify_rest(candidates, roots, sets, similarity)
     if not rest.isEmpty():
         roots = components(alike.union(rest))
-    placed = prints.join(classes, ["set", *names]).join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
+    placed = prints.drop("shingles").join(classes.drop("shingles"), ["set", *names]).join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
     key, kept_id, kept_hash = (fresh(n, docs.columns) for n in ("_hash", "_kept_id", "_kept_hash"))
     kept = checkpoint(best.select(F.col("best.doc_id").alias(kept_id), F.col("best.text_hash").alias(kept_hash)))

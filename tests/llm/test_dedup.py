@@ -200,3 +200,20 @@ def test_crowded_groups_at_the_bound_stay_whole(spark):
     want, _ = jaccard_groups(docs)
     kept = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
     assert kept == set(want)
+
+
+def test_short_texts_by_length(spark):
+    """Pairs of a similarity from 0.8 on, the shorter of up to 64 shingles: every one is found."""
+    r = random.Random(12)
+    docs, pairs = [], 0
+    for n in [1, 2, 4, 5, 6, 8, 8, 8, 9, 9, 12, 16, 19, 24, 30, 40, 50, 60, 64, 68] * 8:
+        words = [f"w{r.random()}" for _ in range(n)]
+        more = words + [f"v{r.random()}" for _ in range(max(0, n - 4) // 4)]  # as many shingles more as are allowed
+        edited = list(words)
+        if n > 40:
+            edited[r.randrange(n)] = f"v{r.random()}"
+        docs += [" ".join(words), " ".join(more), " ".join(edited)]
+    docs += [f"x{i} y{i} " + "the line that many texts have in common " * (i % 3 + 1) for i in range(200)]
+    want, alike = jaccard_groups(docs)
+    found = simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert {x["doc_id"] for x in found.collect()} == set(want) and len(alike) > 300
