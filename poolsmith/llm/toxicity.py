@@ -218,10 +218,11 @@ class Model:
                 single = self.single[at]
                 if (single[3:] & single[2:-1] & single[1:-2] & single[:-3]).any():
                     shares = shares + self.spelled(ws, single)
-                # a word counts once in a sentence
+                # a word that a sentence repeats n times counts 1 + log(n) times if it speaks for toxicity, else once
                 key = np.cumsum(np.bincount(starts[1:], minlength=len(ws))) * len(self.place) + at
-                first = np.unique(key, return_index=True)[1]
-                out[i] += np.bincount(key[first] // len(self.place), shares[first], len(starts)).max()
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                own = shares[first]
+                out[i] += np.bincount(key[first] // len(self.place), np.where(own > 0, own * (1 + np.log(n)), own), len(starts)).max()
         return out
 
     def spelled(self, words: list[bytes], single: np.ndarray) -> np.ndarray:
