@@ -1,10 +1,11 @@
 """Licence scan by a positional index of rare words.
 
 The index holds, for each word of the licence templates, its postings (template, position). How rare the
-words are is counted over all documents first. Then each document looks up its rarest licence words, the
-postings are intersected by relative position (a template is where several words agree on its beginning,
-give or take DRIFT words), and the template's mandatory phrases are verified in that place. Base phrases
-are found besides, wherever their words stand consecutively.
+words are is counted over all documents first. Then each template whose mandatory words a document has is
+looked up by its own rarest words around its first mandatory phrase, the postings are intersected by relative
+position (a template is where several words agree on its beginning, give or take DRIFT words), and the
+template's mandatory phrases are verified in that place. A place is scored by its own words, so that nothing
+else in the text bears on it. Base phrases are found besides, wherever their words stand consecutively.
 
 Defined results: a null text has no words; a null id stays null; repeated rows are scanned each; an empty
 table gives an empty result; columns other than id and text are ignored.
@@ -40,7 +41,7 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under the creative commons attribution sharealike license", ["creative commons attribution sharealike"]),
     ("cc-by", "licensed under the creative commons attribution license", ["creative commons attribution license"]),
 ]
-#: A document's, and a template's, words that are looked up: so many of the rarest.
+#: A template's words that are looked up: so many of the rarest.
 RAREST, DRIFT, ENOUGH = 12, 2, 0.6
 
 _TO_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
@@ -70,19 +71,21 @@ class Index:
 
     def __init__(self, documents: int, frequency: dict[str, int]):
         self.idf = {w: math.log((documents + 1) / (frequency.get(w.decode(), 0) + 0.5)) for w in vocabulary()}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        #: Of each template: places of its rare words.
+        self.postings: list[dict[bytes, list[int]]] = []
         self.templates, self.weights = [], []
-        for number, (label, text, phrases) in enumerate(TEMPLATES):
+        for label, text, phrases in TEMPLATES:
             words = text.encode().split()
             rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:RAREST]
-            for at, w in enumerate(words):
-                if w in rare:
-                    self.postings[w].append((number, at))
+            self.postings.append({w: [at for at, x in enumerate(words) if x == w] for w in rare})
             self.templates.append((label, words, [p.encode().split() for p in phrases]))
-            self.weights.append(sum(max(0.0, self.idf[w]) + 0.1 for w in words if w in rare))
+            self.weights.append(sum(self.weight(w) for w in words if w in rare))
         self.needed = [frozenset(w for p in phrases for w in p) for _, _, phrases in self.templates]
         self.base = [(p.encode().split(), label) for p, label in BASE.items()]
 
+    def weight(self, word: bytes) -> float:
+        return max(0.0, self.idf[word]) + 0.1
+
     def scan(self, text: bytes) -> tuple[int, list[int], set[str], dict[str, float]]:
         """(words, base places, base labels, the method's labels with scores)."""
         words = words_of(text)
@@ -92,24 +95,25 @@ class Index:
             if present.issuperset(phrase) and (found := places(words, phrase)):
                 at += found
                 labels.add(label)
-        wanted = {t for t, need in enumerate(self.needed) if need <= present}
-        if wanted:
-            rare = set(sorted(present, key=lambda w: (-self.idf[w], w))[:RAREST])
-            votes: dict[tuple[int, int], dict[int, float]] = defaultdict(dict)
-            for i, w in enumerate(words):
-                if w in rare:
-                    for t, place in self.postings.get(w, ()):
-                        if t in wanted:
-                            votes[t, i - place][place] = max(0.0, self.idf[w]) + 0.1
-            for t, begin in votes:
-                label, template, phrases = self.templates[t]
+        for t in (t for t, need in enumerate(self.needed) if need <= present):
+            label, template, phrases = self.templates[t]
+            votes: dict[int, dict[int, float]] = defaultdict(dict)
+            voted = 0
+            for anchor in places(words, phrases[0]):  # what may vote for a beginning whose place holds the phrase
+                low, high = anchor + len(phrases[0]) - len(template) - 2 * DRIFT, min(len(words), anchor + len(template) + 2 * DRIFT + 1)
+                for i in range(max(0, low, voted), high):
+                    for place in self.postings[t].get(words[i], ()):
+                        votes[i - place][place] = self.weight(words[i])
+                voted = max(voted, high)
+            for begin in votes:
                 agreed: dict[int, float] = {}
                 for d in range(-DRIFT, DRIFT + 1):
-                    agreed |= votes.get((t, begin + d), {})
-                # only words among the document's rarest could vote
-                most = sum(max(0.0, self.idf[w]) + 0.1 for w in template if w in rare and any(x == t for x, _ in self.postings.get(w, ())))
+                    agreed |= votes.get(begin + d, {})
+                low, high = max(0, begin - DRIFT), max(0, begin + len(template) + DRIFT)
+                here = set(words[low:high])
+                # only words in this place could vote
+                most = sum(self.weight(w) for w in template if w in self.postings[t] and w in here)
                 score = min(1.0, sum(agreed.values()) / max(most, 1e-9)) * min(1.0, 0.5 + most / self.weights[t])
-                low, high = max(0, begin - DRIFT), begin + len(template) + DRIFT
                 if score >= ENOUGH and score > scores.get(label, 0.0) and all(places(words, p, low, high) for p in phrases):
                     scores[label] = score
         return len(words), sorted(at), labels, scores

@@ -161,6 +161,18 @@ def test_license_method(spark):
     assert [found[i] for i in range(5)] == ["gpl-3", "mit", "bsd", "", ""] and not any(found[i] for i in found if i >= 10)
 
 
+def test_several_licenses_in_one_text(spark):
+    """Each template in one long text is found as it is alone, whatever stands before it."""
+    names = [label for label, _, _ in license_scan.TEMPLATES]
+    texts = [text for _, text, _ in license_scan.TEMPLATES]
+    filler = " the and of a in to is other words here" * 40
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, filler.join(texts)), (101, filler.join(reversed(texts))), (102, texts[0] + filler + texts[4])]
+    rows += [(200 + i, filler + " gnu general public license of version") for i in range(50)]
+    found = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(names[i] in found[i] for i in range(len(names)))
+    assert found[100] == found[101] == set(names) and found[102] == {"mit", "gpl-3"} and found[200] == {""}
+
+
 # --- toxicity -----------------------------------------------------------------------------------
 
 
