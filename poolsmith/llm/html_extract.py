@@ -2,15 +2,15 @@
 
 A page is read as tokens: tags by their path, and pieces of text that no container already tells to be an
 aside. Over all pages of a host, each token's occurrence vector (how often each page has it) is kept as a
-sum of hashes, so that vectors are compared without being collected and copies of a host's pages are
-combined before the shuffle. Tokens with equal vectors, found in at least half of the host's pages, form a
+sum of hashes, so that vectors are compared without being collected and a host's pages are combined before
+the shuffle. Pages of equal tokens are one page there: copies tell nothing of a template. Tokens with equal vectors, found in at least half of the host's pages, form a
 class; a class is valid when it has several tokens, among them tags, and nests: the paths of its tags hang
 below those of valid classes that are found at least as often. The nested classes are the host's template.
 What fills the remaining slots is extracted: the slots inside an article or main element where the page has
 one, else all slots outside asides; text that is itself part of the template is left out there.
 
 Defined results: null html is empty and gives an empty text; a null url has the host ""; a null id stays
-null; repeated rows are separate pages; broken markup is read as far as it goes (an unclosed tag is text,
+null; repeated rows are extracted each; broken markup is read as far as it goes (an unclosed tag is text,
 an unclosed comment or script runs to the end); an empty table gives an empty result; other columns are
 ignored.
 """
@@ -35,6 +35,8 @@ from poolsmith.llm.common import checkpoint, shared_table, table
 SALTS = 64
 #: Templates of at most so many bytes in all are sent to every task instead.
 SENT = 8 << 20
+#: At most so many contents that several pages have are sent to every task; more are joined by a shuffle.
+COPIED = 1 << 18
 SUPPORT = 0.5
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -206,7 +208,7 @@ def _raw_end(html: str, tag: str, at: int) -> int:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, tokens (token, parent's token, kind, n), has_main, blocks (token, main, text)."""
+    """page_id, url, host, content, tokens (token, parent's token, kind, n), has_main, blocks (token, main, text). content: a hash of all tokens."""
     tokens_type = pa.list_(pa.struct([("token", pa.int64()), ("parent", pa.int64()), ("tag", pa.bool_()), ("n", pa.int32())]))
     blocks_type = pa.list_(pa.struct([("token", pa.int64()), ("main", pa.bool_()), ("text", pa.string())]))
 
@@ -215,18 +217,20 @@ def read_pages(pages: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 read = [Page(h or "") for h in part.column(2).to_pylist()]
-                hosts, tokens, blocks = [host_of(u) for u in part.column(1).to_pylist()], [], []
+                hosts, contents, tokens, blocks = [host_of(u) for u in part.column(1).to_pylist()], [], [], []
                 for p in read:
                     found = [{"token": TOP, "parent": 0, "tag": True, "n": 1}]
                     found += [{"token": path, "parent": above, "tag": True, "n": n} for (path, above), n in p.tags.items()]
-                    other = Counter((path, text) for path, main, text in p.blocks if not main)
-                    found += [{"token": token("text", *k), "parent": k[0], "tag": False, "n": n} for k, n in other.items()]
+                    texts = Counter((path, text) for path, _, text in p.blocks)
+                    named = {k: token("text", *k) for k in texts}
+                    found += [{"token": named[k], "parent": k[0], "tag": False, "n": n} for k, n in texts.items()]
                     tokens.append(found)
-                    blocks.append([{"token": 0 if main else token("text", path, text), "main": main, "text": text} for path, main, text in p.blocks])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(tokens, tokens_type), pa.array([p.has_main for p in read], pa.bool_()), pa.array(blocks, blocks_type)], names=["page_id", "url", "host", "tokens", "has_main", "blocks"])
+                    contents.append(token("page", 0, repr(sorted((t["token"], t["n"]) for t in found))))
+                    blocks.append([{"token": named[path, text], "main": main, "text": text} for path, main, text in p.blocks])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(tokens, tokens_type), pa.array([p.has_main for p in read], pa.bool_()), pa.array(blocks, blocks_type)], names=["page_id", "url", "host", "content", "tokens", "has_main", "blocks"])
 
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return base.mapInArrow(run, "page_id long, url string, host string, tokens array<struct<token: long, parent: long, tag: boolean, n: int>>, has_main boolean, blocks array<struct<token: long, main: boolean, text: string>>")
+    return base.mapInArrow(run, "page_id long, url string, host string, content long, tokens array<struct<token: long, parent: long, tag: boolean, n: int>>, has_main boolean, blocks array<struct<token: long, main: boolean, text: string>>")
 
 
 def template_of(rows: pd.DataFrame) -> pd.DataFrame:
@@ -250,12 +254,16 @@ def template_of(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def templates(read: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """host, template (tokens of text), tags: one row per host.
+    """host, template (tokens of text), tags: one row per host. read: row (a number of its own), host, content, tokens.
 
-    Only tokens found in at least ``support`` of a host's pages reach a host's task, so that their number is
+    Of pages of equal content, the first votes. Only tokens found in at least ``support`` of a host's pages reach a host's task, so that their number is
     at most 1 / support times the tokens of a mean page, however many pages there are.
     """
-    spots = read.select("host", F.xxhash64("page_id", "url").alias("page"), F.explode("tokens").alias("t"))
+    copied = checkpoint(read.groupBy("host", "content").agg(F.count("*").alias("copies"), F.min("row").alias("first")).where("copies > 1").drop("copies"))
+    if copied.count() <= COPIED:
+        copied = F.broadcast(copied)
+    voting = read.join(copied, ["host", "content"], "left").where("first IS NULL OR first = row")
+    spots = voting.select("host", F.col("content").alias("page"), F.explode("tokens").alias("t"))
     counts = spots.groupBy("host", "t.token").agg(F.first("t.parent").alias("parent"), F.first("t.tag").alias("tag"), F.count("*").alias("pages"), F.sum(F.xxhash64("page", "t.n") % 2**40).alias("vector"))
     totals = counts.where(F.col("token") == TOP).select("host", F.col("pages").alias("all_pages"))
     common = counts.join(totals, "host").where((F.col("pages") >= 2) & (F.col("pages") >= support * F.col("all_pages")))
@@ -264,8 +272,8 @@ def templates(read: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per row."""
-    read = shared_table(read_pages(pages), "pages")
-    found = checkpoint(templates(read.select("page_id", "url", "host", "tokens")))
+    read = shared_table(read_pages(pages).withColumn("row", F.monotonically_increasing_id()), "pages")
+    found = checkpoint(templates(read.select("row", "host", "content", "tokens")))
     weight = found.agg(F.sum(8 * F.size("template") + F.octet_length("host") + 64)).first()[0] or 0
     rows = read.select("page_id", "url", "host", "has_main", "blocks")
     if weight <= SENT:

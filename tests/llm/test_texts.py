@@ -291,6 +291,27 @@ def test_template_text_goes(spark):
     assert again == found
 
 
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("tag", ["div"])
+def test_copies_are_no_template(spark, tag):
+    """A host whose pages are copies of one page keeps its text, and copies beside other pages do not outvote them."""
+    page = f"<html><body><{tag}><p>A</p><p>B</p></{tag}></body></html>"
+    rows = [(1, "http://two/1", page), (2, "http://two/2", page), (3, "http://row/1", page), (3, "http://row/1", page)]
+    own = lambda i: f"<html><body><{tag}><p>top line</p><div><p>story {i}</p></div></{tag}></body></html>"
+    rows += [(10 + i, f"http://many/{i}", own(0)) for i in range(20)] + [(40 + i, f"http://many/{40 + i}", own(i)) for i in range(1, 4)]
+    found = extracted(spark, rows)
+    assert found[1] == found[2] == found[3] == "A B"
+    assert found[10] == found[29] == "story 0" and found[41] == "story 1"
+    sent, html_extract.COPIED = html_extract.COPIED, -1  # the other way: joined by a shuffle
+    try:
+        assert extracted(spark, rows) == found
+    finally:
+        html_extract.COPIED = sent
+
+
 # --- pieces -------------------------------------------------------------------------------------
 
 
