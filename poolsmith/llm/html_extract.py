@@ -7,7 +7,7 @@ the shuffle. Pages of equal tokens are one page there: copies tell nothing of a
 class; a class is valid when it has several tokens, among them tags, and nests: the paths of its tags hang
 below those of valid classes that are found at least as often. The nested classes are the host's template.
 What fills the remaining slots is extracted: the slots inside an article or main element where the page has
-one, else all slots outside asides; text that is itself part of the template is left out there.
+one, else all slots outside asides; text that is itself part of the template is left out in either case.
 
 Defined results: null html is empty and gives an empty text; a null url has the host ""; a null id stays
 null; repeated rows are extracted each; broken markup is read as far as it goes (an unclosed tag is text,
@@ -281,7 +281,7 @@ def extract(pages: DataFrame) -> DataFrame:
     else:  # a host with very many pages is dealt out: its template goes to each of SALTS parts
         dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt"], "left")
-    kept = F.filter("blocks", lambda b: F.when(F.col("has_main"), b["main"]).otherwise(~F.array_contains(F.coalesce("template", F.expr("cast(array() as array<bigint>)")), b["token"])))
+    kept = F.filter("blocks", lambda b: (b["main"] | ~F.col("has_main")) & ~F.array_contains(F.coalesce("template", F.expr("cast(array() as array<bigint>)")), b["token"]))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return joined.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
 

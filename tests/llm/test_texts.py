@@ -295,7 +295,15 @@ def extracted(spark, rows):
     return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
-@pytest.mark.parametrize("tag", ["div"])
+@pytest.mark.parametrize("tag", ["main", "article"])
+def test_template_text_in_main_goes(spark, tag):
+    """What all pages of the host share goes from inside main and article elements too."""
+    rows = [(i, f"http://site/{i}", f"<html><body><{tag}><p class='x'>Tell your friends of this</p><div><p>story {i} of its own</p></div><p>All rights kept</p></{tag}></body></html>") for i in range(30)]
+    found = extracted(spark, rows)
+    assert all(found[i] == f"story {i} of its own" for i in range(30))
+
+
+@pytest.mark.parametrize("tag", ["div", "main"])
 def test_copies_are_no_template(spark, tag):
     """A host whose pages are copies of one page keeps its text, and copies beside other pages do not outvote them."""
     page = f"<html><body><{tag}><p>A</p><p>B</p></{tag}></body></html>"
