@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from poolsmith.llm.common import fresh, table, text_or_empty
 
 #: At most so many labelled rows, those with the smallest hashes of their ids, are trained on.
-LABELLED = 6000
+LABELLED = 3000
 TOXIC_LANDMARKS, COMMON_LANDMARKS = 64, 8
 SPAN, DECAY, POWER = 5, 0.7, 4
 #: Sentences are cut after so many words.

@@ -7,7 +7,6 @@ from html import unescape
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from poolsmith.llm import html_extract, license_scan, packing, pii, piece_codec, quality, toxicity
 
@@ -206,18 +205,6 @@ def test_toxicity_on_held_out_rows(spark):
     assert p[y == 1].mean() > 0.75 and p[y == 0].mean() < 0.01
 
 
-def test_rows_beyond_3000_are_learnt(spark):
-    """An insult found only in labelled rows that a smaller sample leaves out becomes a landmark."""
-    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1][:5000]
-    order = [r["doc_id"] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
-    late = set(order[3000:3030])
-    name = lambda i: "".join("bcdfghjklm"[int(c)] for c in str(i))
-    rows = [(i, ("you numbskull " if i in late else "you idiot " if i % 5 == 0 else "a quiet day ") + name(i)) for i in ids]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = toxicity.fit(docs, docs.selectExpr("doc_id", "int(text like 'you%') as toxic"))
-    assert "numbskull" in model.kernel.landmarks
-
-
 def test_gaps_and_insertions():
     insults = ["idiot", "moron", "clown"]
     r = random.Random(3)
