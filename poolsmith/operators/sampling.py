@@ -56,9 +56,9 @@ def stratified(rows: DataFrame, sizes: DataFrame, strata: list[str], id_col: str
 
 
 def sample_sources(usable: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """usable (chunk_id, source, section, pos, ...): each source's target, in proportion over its sections; in the corpus's order."""
+    """usable (chunk_id, source, section, pos, ...): each source's target, in proportion over its sections; ``pos`` tells the corpus's order. Give ids alone: rows are sorted by section."""
     sizes = usable.groupBy("source", "section").agg(F.count("*").alias("size")).join(targets.select("source", F.col("chunks_to_sample").alias("target")), "source")
-    return stratified(usable, largest_remainder(sizes, "section", "target", "source"), ["source", "section"], "chunk_id", seed).orderBy("pos")
+    return stratified(usable, largest_remainder(sizes, "section", "target", "source"), ["source", "section"], "chunk_id", seed)
 
 
 def sampling_report(classified: DataFrame, sampled: DataFrame, targets: DataFrame) -> DataFrame:

@@ -10,17 +10,27 @@ from pyspark.sql import functions as F
 
 from poolsmith.functions import text as X
 from poolsmith.operators import joins, retrieval, sampling
+from poolsmith.sources.shared import shared_table
 
 REWRITES = ["typo", "vague", "misleading", "abbreviated", "negated", "overlong", "off_scope", "mixed"]
 
 
+def classified_chunks(chunks: DataFrame, tiers: DataFrame) -> DataFrame:
+    """chunk_id, source, tier, section, reason, pos of the configured sources' chunks, written once: texts are read and judged in one pass and go no further."""
+    known = chunks.join(tiers.select("source", "tier"), "source")
+    return shared_table(X.with_reason(known).withColumn("section", X.section(F.col("breadcrumb"))).select("chunk_id", "source", "tier", "section", "reason", "pos"), "classified")
+
+
 def sampled_corpus(chunks: DataFrame, tiers: DataFrame, questions_per_chunk: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(sampled chunks with tier and section, report): configured sources, usable chunks, in proportion over sections."""
+    """(sampled chunks with tier and section, report): configured sources, usable chunks, in proportion over sections.
+
+    Sampling works on ids; the texts of the sample alone are joined to it, at the end.
+    """
     targets = sampling.source_targets(tiers, questions_per_chunk)
-    known = chunks.join(targets.select("source", "tier"), "source")
-    classified = known.withColumn("section", X.section(F.col("breadcrumb"))).withColumn("reason", X.boilerplate_reason(F.col("text"), F.col("breadcrumb")))
-    sampled = sampling.sample_sources(classified.where("reason IS NULL").drop("reason"), targets, seed)
-    return sampled, sampling.sampling_report(classified, sampled, targets)
+    classified = classified_chunks(chunks, targets)
+    chosen = sampling.sample_sources(classified.where("reason IS NULL").select("chunk_id", "source", "tier", "section", "pos"), targets, seed)
+    sampled = chosen.join(chunks.drop("source", "tier", "section", "pos"), "chunk_id")
+    return sampled, sampling.sampling_report(classified, chosen, targets)
 
 
 def judge(pairs: DataFrame, model: Callable[[str, str], dict], contract: dict[str, str], retries: int = 2) -> DataFrame:

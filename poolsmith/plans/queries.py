@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from poolsmith.functions import rubric, vectors
+from poolsmith.functions import fixed, rubric, vectors
 from poolsmith.functions import text as X
 from poolsmith.operators import joins, metrics, retrieval, sampling
 from poolsmith.plans import pipelines
@@ -421,17 +421,55 @@ def _(c):
     return c.select("chunk_id", X.section(b).alias("section"), X.topic(b, F.lit(None).cast("string")).alias("topic"), X.pair_key(F.col("pos"), F.col("chunk_id")).alias("pair"), X.sequential_id(F.col("pos")).alias("query_id"))
 
 
-PLAIN_SQL = r"trim(regexp_replace(regexp_replace(text, '[-|>#`_*]+', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
+def _regex_sql(column: str, patterns: list[str]) -> str:
+    return f"regexp_matches({column}, '(?i)" + "|".join(patterns).replace("'", "''") + "')"
+
+
+def _reason_sql() -> str:
+    """The classifier in DuckDB's words: null breadcrumbs don't occur there."""
+    plain_ = "text"
+    for pattern, by in fixed.MARKDOWN:
+        plain_ = f"regexp_replace({plain_}, '{pattern}', '{by}', 'g')"
+    listed = "(" + ", ".join("'" + h.replace("'", "''") + "'" for h in fixed.BOILERPLATE_HEADINGS) + ")"
+    first = r"lower(regexp_replace(regexp_replace(trim(regexp_replace(rows[1], '^#+\s*', ''), '*_ '), '[:.]+$', ''), '\s+', ' ', 'g'))"
+    cases = [(f"length(trim({plain_})) < {fixed.MIN_BODY_CHARS}", "'short_text'"), (f"first IN {listed}", "'heading_' || replace(first, ' ', '_')"), (f"lower(section) IN {listed}", "'section_' || replace(lower(section), ' ', '_')")]
+    cases += [(_regex_sql("head", p), f"'{r}'") for r, p in fixed.FRONT_MATTER_PATTERNS]
+    cases += [(_regex_sql("head", p) + " OR " + _regex_sql("breadcrumb", p), f"'{r}'") for r, p in fixed.STRUCTURAL_PATTERNS]
+    cases += [(_regex_sql("text", p), f"'{r}'") for r, p in fixed.FULL_BODY_PATTERNS]
+    cases += [
+        ("regexp_full_match(first, '[\\pL]') AND len(list_filter(rows[2:], lambda x: starts_with(x, '**'))) >= 2", "'glossary_fragment'"),
+        ("len(list_filter(rows, lambda x: NOT (starts_with(x, '#') OR (starts_with(x, '**') AND ends_with(x, '**') AND length(x) > 4)))) = 0", "'heading_only'"),
+        (r"len(tables) >= 4 AND 2 * len(list_filter(tables, lambda x: regexp_replace(x, '[|\s-]', '', 'g') = '')) > len(tables)", "'empty_form_table'"),
+    ]
+    when = " ".join(f"WHEN {test} THEN {reason}" for test, reason in cases)
+    return rf"""WITH cut AS (SELECT *, coalesce(nullif(trim(split_part(breadcrumb, '>', 1)), ''), '{fixed.ROOT_SECTION}') AS section,
+  list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS rows FROM noted),
+ ready AS (SELECT *, array_to_string(rows[1:5], chr(10)) AS head, list_filter(rows, lambda x: starts_with(x, '|')) AS tables, coalesce({first}, '') AS first FROM cut),
+ judged AS (SELECT *, CASE {when} END AS reason FROM ready)
+"""
+
+
+#: Openings, by place in the corpus, that give the rules something to find; most chunks keep their text.
+NOTED = """SELECT chunk_id, source, tier, pos, CASE WHEN pos % 17 = 0 THEN concat(upper(substr(source, 1, 1)), 'ims > ', lang_) WHEN pos % 23 = 0 THEN 'Instructions for use' ELSE breadcrumb END AS breadcrumb, concat(CASE pos % 31
+  WHEN 1 THEN '## **References:**' WHEN 2 THEN 'Suggested Citation of this' WHEN 3 THEN '# Endorsed by' WHEN 4 THEN 'a table of contents' WHEN 5 THEN 'Acknowledgment' WHEN 6 THEN 'Copyright 2020' WHEN 7 THEN 'ISBN 12' WHEN 8 THEN 'version no. 3'
+  WHEN 9 THEN 'Case number : 5' WHEN 10 THEN 'They invite all of the learners' WHEN 11 THEN 'Write it on the blackboard' WHEN 12 THEN 'role/play' WHEN 13 THEN 'Questions that may be asked' WHEN 14 THEN concat('# B', chr(10), '**Bag** one', chr(10), '**Bed** two')
+  WHEN 15 THEN concat('| a |', chr(10), '|---|', chr(10), '| |', chr(10), '|  |', chr(10), '| - |') WHEN 16 THEN '# Preface' WHEN 17 THEN '[away](x) ![gone](y)' WHEN 18 THEN 'Planning follow-up' ELSE '' END, chr(10), text) AS text
+ FROM (SELECT *, split_part(breadcrumb, ' > ', 1) AS lang_ FROM chunks) c"""
+REASON_SQL = f"WITH noted AS ({NOTED}), " + _reason_sql()[5:]
+
+
+def noted(c: DataFrame) -> DataFrame:
+    return c.sparkSession.sql(NOTED.replace("FROM chunks", "FROM {chunks}"), chunks=c)
 
 
-@query("p4_a3_short_and_license", "chunks", rf"SELECT chunk_id, length({PLAIN_SQL}) < 150 AS is_short FROM chunks")
+@query("p4_boilerplate_reasons", "chunks", REASON_SQL + "SELECT chunk_id, section, reason FROM judged")
 def _(c):
-    return c.select("chunk_id", (F.coalesce(X.boilerplate_reason(F.col("text"), F.col("breadcrumb")), F.lit("")) == "short_text").alias("is_short"))
+    return X.with_reason(noted(c)).select("chunk_id", X.section(F.col("breadcrumb")).alias("section"), "reason")
 
 
-@query("p5_a4_reasons_by_source", "chunks")
+@query("p5_a3_a4_reasons_by_source", "chunks", REASON_SQL + "SELECT source, reason, count(*) AS n FROM judged GROUP BY source, reason")
 def _(c):
-    return c.withColumn("reason", X.boilerplate_reason(F.col("text"), F.col("breadcrumb"))).groupBy("source", "reason").agg(F.count("*").alias("n"))
+    return X.with_reason(noted(c)).groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
 @query("p7_p8_review", "chunks", "SELECT chunk_id, ordinal, words FROM (SELECT *, CAST(row_number() OVER (ORDER BY pos) AS INT) AS ordinal, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?'))::INT AS words FROM chunks) x WHERE contains(lower(concat_ws(chr(10), breadcrumb, 'en', text)), 'src1') AND words BETWEEN 20 AND 400 ORDER BY ordinal LIMIT 50 OFFSET 5")

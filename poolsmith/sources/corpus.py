@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from poolsmith.functions import fixed
 from poolsmith.functions import text as X
 
-STRICT = r"^<sep>\[SOURCE:([^|]+)\|PAGE:(\d+)\|CID:([a-f0-9]+)\]$"
-LENIENT = r"^<sep>\[SOURCE:([^|]+)\|PAGE:([^|]+)\|CID:([^\]]+)\]"
+STRICT, LENIENT = fixed.STRICT_HEADER, fixed.LENIENT_HEADER
 
 
 def raw_chunks(spark: SparkSession, path: str) -> DataFrame:

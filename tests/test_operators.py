@@ -11,7 +11,7 @@ LONG = "The midwife listens to the heart of the child and writes down what she h
 
 
 def chunk(spark, text, breadcrumb="Section > Child"):
-    return spark.createDataFrame([(text, breadcrumb)], "t string, b string").select(X.boilerplate_reason(F.col("t"), F.col("b"))).first()[0]
+    return spark.createDataFrame([(text, breadcrumb)], "t string, b string").transform(X.with_reason, "reason", "t", "b").first()["reason"]
 
 
 @pytest.mark.parametrize(
@@ -31,6 +31,18 @@ def chunk(spark, text, breadcrumb="Section > Child"):
         ("# Show slide 24\n" + LONG, "A", "educator_instruction"),
         ("# Title\n" + LONG + "\nmore\nand more\nand more\nQuestions that arise are these.", "A", "scenario_reflection"),
         ("# Title\n" + LONG + "\nIn order to confirm that a student is competent, watch.", "A", "scenario_reflection"),
+        ("References :\n" + LONG, "A", None),
+        ("**References**:\n" + LONG, "A", None),
+        ("**References:**\n" + LONG, "A", "heading_references"),
+        ("# É\n**Eau** x\n**Air** y\n" + LONG, "A", "glossary_fragment"),
+        ("short [](u) " + "[a]() " * 40, "A", None),
+        ("[a link with many words in it to make it long](https://example.org) " * 9, "A", "short_text"),
+        ("ISBN 123\x0b" + LONG, "A", "license"),
+        ("one\x0btwo\u2028three\x85four\x1cfive\nCopyright 2020\n" + LONG, "A", None),
+        ("one\ntwo\nCOPYRIGHT 2020\n" + LONG, "A", "copyright"),
+        ("éisbn one\n" + LONG, "A", None),
+        (LONG, None, None),
+        (None, None, "short_text"),
         (LONG, "A", None),
     ],
 )
