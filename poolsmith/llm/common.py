@@ -1,39 +1,17 @@
-"""What the operators share: reading, checkpoints and tables in the shared folder."""
+"""What the operators share: reading, null texts, new names, and checkpoints and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from poolsmith.sources.shared import checkpoint, shared_table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='poolsmith-')}")
-    return named or sc.getCheckpointDir()
+__all__ = ["checkpoint", "fresh", "shared_table", "table", "text_or_empty"]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; the files outlive any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Write to a new table in the shared folder and read it back; compressed, columns pruned on reading."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -1,11 +1,15 @@
 """Exact duplicates by an extendible-hash index in shared files (native operators only).
 
-Rows are hashed to 64 bits. Groups of equal (hash, digest) are the index entries; an entry's bucket is
-found through a directory over the hash's leading bits. The directory starts with one slot and doubles
-while a bucket holds more than ``capacity`` entries, so equal hashes, however many rows have them, are
-one entry and never force a split. The index is written to shared files in bucket order; each owner task
-holds one range of keys. Bytes are compared by grouping whole texts inside each (hash, digest) chain,
-copies being combined before the shuffle; a chain with several texts gets one entry per text.
+Rows are hashed to 64 bits. The directory over a hash's leading bits starts with one slot and doubles while a
+bucket holds more than ``capacity`` keys; equal hashes, however many rows have them, are one key and never
+force a split. Each row is routed to the bucket that the directory gives for its hash. A bucket's owner task
+gets the whole texts of its key range, chains texts of equal hashes by comparing their bytes, and decides each
+text's size and keeper; what it finds is the bucket's part of the index file. Every row then looks its entry up
+in the file, under its bucket. Nothing else tells which row stays: without the files there is no result.
+
+A hash with more rows than a bucket's share is split over several owners, each of which combines its copies;
+the few entries that they give are combined once more. Of such hashes there are at most ``HOT``, so their
+entries can be sent to every task for the lookup.
 
 Defined results: a null text counts as empty; a null id sorts below every other id; of rows equal in both
 id and text exactly one is kept; an empty table gives an empty result; columns other than id and text are
@@ -14,7 +18,7 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsmith.llm.common import checkpoint, fresh, shared_table
@@ -23,14 +27,16 @@ from poolsmith.llm.common import checkpoint, fresh, shared_table
 STEP = 10
 #: The directory's slots number 2 ** DEEPEST at most; a bucket that is overfull there stays one, and is only longer.
 DEEPEST = 16
+#: At most so many hashes are split over several owners and their entries sent to every task.
+HOT = 1 << 15
 
 
-def directory(entries: DataFrame, capacity: int) -> tuple[int, list[int]]:
+def directory(keys: DataFrame, capacity: int) -> tuple[int, list[int]]:
     """(global depth, bucket of each slot) over the leading bits of column ``h``.
 
     Only counts by prefix come to the driver: at most 2 ** STEP for each bucket that is still overfull.
     """
-    depths: dict[tuple[int, int], int] = {}  # (depth, prefix) -> entries, of the leaves
+    depths: dict[tuple[int, int], int] = {}  # (depth, prefix) -> keys, of the leaves
 
     def slot(depth: int) -> Column:
         return F.shiftrightunsigned(F.col("h"), 64 - depth)
@@ -49,7 +55,7 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, list[int]]:
     depth, open_ = 0, [0]
     while open_:
         bottom = min(DEEPEST, depth + STEP)
-        rows = entries if depth == 0 else entries.where(slot(depth).isin(open_))
+        rows = keys if depth == 0 else keys.where(slot(depth).isin(open_))
         leaf = {r["s"]: r["n"] for r in rows.groupBy(slot(bottom).alias("s")).agg(F.count("*").alias("n")).collect()}
         leaf = {k % 2**bottom: v for k, v in leaf.items()}
         open_, depth = [x for prefix in open_ for x in place(leaf, depth, prefix, bottom)], bottom
@@ -61,30 +67,76 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, list[int]]:
     return top, slots
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000, hash_of=F.xxhash64, digest_of=lambda c: F.sha2(c, 256)) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = shared_table(base.select("doc_id", F.monotonically_increasing_id().alias("rid"), hash_of("text").cast("long").alias("h"), digest_of("text").alias("digest"), F.sha2("text", 256).alias("text_sha256")), "exact-rows")
+def _entries(rows: DataFrame, *by: str) -> DataFrame:
+    """One entry for each text; equal hashes and digests are told apart by the texts' bytes."""
+    return rows.groupBy(*by, "bucket", "h", "digest", "text").agg(F.sum("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"))
 
-    # bytes: whole texts are grouped, so that texts in one chain are told apart by their bytes alone
-    keyed = base.select(hash_of("text").cast("long").alias("h"), digest_of("text").alias("digest"), "text")
-    texts = keyed.groupBy("h", "digest", "text").agg(F.count("*").alias("n"))
-    collided = checkpoint(texts.groupBy("h", "digest").agg(F.count("*").alias("n_texts")).where("n_texts > 1").select("h", "digest"))
-    if collided.isEmpty():
-        rows = rows.withColumn("chain", F.lit(""))
-    else:  # the text itself is the place in the chain; only rows of such chains carry it
-        chained = shared_table(base.select("doc_id", hash_of("text").cast("long").alias("h"), digest_of("text").alias("digest"), F.sha2("text", 256).alias("text_sha256"), F.col("text").alias("chain"), F.monotonically_increasing_id().alias("rid")).join(collided, ["h", "digest"], "left_semi"), "exact-chained")
-        rows = rows.join(collided, ["h", "digest"], "left_anti").withColumn("chain", F.lit("")).unionByName(chained)
-
-    groups = rows.groupBy("h", "digest", "chain").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("keep"))
-    groups = checkpoint(groups.select("h", "digest", "chain", "group_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.rid").alias("keep_rid")))
-    depth, slots = directory(groups, capacity)
+
+def _owned(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Entries of routed rows (bucket, h, digest, text, doc_id), made by each bucket's owner, or owners."""
+    rows = rows.withColumn("group_size", F.lit(1)).withColumnRenamed("doc_id", "keep_id")
+    if hot is None:
+        return _entries(rows.repartition("bucket"))
+    spread = rows.join(F.broadcast(hot), "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("keep_id"), F.col("owners")) + 1, F.lit(0)).cast("int"))
+    owned = _entries(spread.drop("owners").repartition("bucket", "part"), "part")
+    return owned.where("part = 0").drop("part").unionByName(_entries(owned.where("part > 0").drop("part")))
+
+
+def _looked_up(rows: DataFrame, index: DataFrame, key: list[str], hot: DataFrame | None) -> DataFrame:
+    """rows (key, doc_id, rid, sha) with what the index says of them; of rows equal in id and text one is kept."""
+    repeated = checkpoint(rows.groupBy("doc_id", *key).agg(F.count("*").alias("times"), F.max("rid").alias("last")).where("times > 1").drop("times"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    if hot is None:
+        found = rows.join(index, key)
+    else:
+        few = F.broadcast(hot.select("h"))  # less than HOT of them, and an entry each
+        found = rows.join(few, "h", "left_anti").join(index, key).unionByName(rows.join(few, "h", "left_semi").join(F.broadcast(index.join(few, "h", "left_semi")), key))
+    if not repeated.isEmpty():
+        there = found["doc_id"].eqNullSafe(repeated["doc_id"])
+        for k in key:
+            there = there & (found[k] == repeated[k])
+        found = found.join(repeated, there, "left").select(*(found[c] for c in found.columns), "last")
+        kept = kept & (F.col("last").isNull() | (F.col("last") == F.col("rid")))
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1000, hash_of=F.xxhash64, digest_of=None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain (the text's place in its chain, from 0).
+
+    hash_of, digest_of (the SHA-256 where none is given): other functions of a text, for tests.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("doc_id", "text", hash_of("text").cast("long").alias("h"), F.unhex(F.sha2("text", 256)).alias("sha"))
+    base = base.withColumn("digest", F.col("sha") if digest_of is None else digest_of("text").cast("binary"))
+    named = ["doc_id", "rid", "h", "sha", *(["digest"] if digest_of else [])]
+    rows = shared_table(base.withColumn("rid", F.monotonically_increasing_id()).select(*named), "exact-rows")
+    if digest_of is None:
+        rows = rows.withColumn("digest", F.col("sha"))
+
+    hashes = shared_table(rows.groupBy("h").agg(F.count("*").alias("n")), "exact-hashes")
+    depth, slots = directory(hashes, capacity)
     at = F.lit(1) if depth == 0 else F.shiftrightunsigned("h", 64 - depth) + 1
     # one literal, however many slots: folded into an array when the plan is made
-    directory_ = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<int>")
-    index = shared_table(groups.withColumn("bucket", F.element_at(directory_, at.cast("int"))).repartitionByRange("bucket", "h", "digest", "chain").sortWithinPartitions("bucket", "h"), "exact-index")
-    return rows.join(index, ["h", "digest", "chain"]).select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", "bucket", F.when(F.col("chain") != "", F.sha2("chain", 256)).alias("chain"))
+    bucket = F.element_at(F.split(F.lit(",".join(map(str, slots))), ",").cast("array<int>"), at.cast("int"))
+    share = max(capacity, -(-(hashes.agg(F.sum("n")).first()[0] or 0) // HOT))
+    hot = checkpoint(hashes.where(F.col("n") > share).select("h", F.ceil(F.col("n") / F.lit(share)).alias("owners")))
+    hot = None if hot.isEmpty() else hot
+
+    key = ["bucket", "h", "digest"]
+    owned = _owned(base.select(bucket.alias("bucket"), "h", "digest", "text", "doc_id"), hot)
+    chains = owned.groupBy(*key).agg(F.count("*").alias("texts"), F.max(F.struct("group_size", "keep_id")).alias("e"))
+    index = shared_table(chains.select(*key, "texts", "e.group_size", "e.keep_id").sortWithinPartitions(*key), "exact-index")
+    routed = rows.withColumn("bucket", bucket)
+    collided = index.where("texts > 1").select(*key)
+    single = index.where("texts = 1").select(*key, "group_size", "keep_id", F.lit(0).alias("chain"))
+    if collided.isEmpty():
+        return _looked_up(routed, single, key, hot)
+    # chains of several texts: rows with such a key look their own bytes up
+    collided = checkpoint(collided)
+    texts = shared_table(base.withColumn("bucket", bucket).withColumn("rid", F.monotonically_increasing_id()).join(collided, key, "left_semi").select(*key, "text", "doc_id", "rid", "sha"), "exact-chained")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("text")) - 1
+    chained = shared_table(_owned(texts.drop("rid", "sha"), hot).withColumn("chain", place), "exact-chains")
+    return _looked_up(routed.join(collided, key, "left_anti"), single, key, hot).unionByName(_looked_up(texts, chained, [*key, "text"], None))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+import os
 import random
 import re
 
@@ -217,3 +219,42 @@ def test_short_texts_by_length(spark):
     want, alike = jaccard_groups(docs)
     found = simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
     assert {x["doc_id"] for x in found.collect()} == set(want) and len(alike) > 300
+
+
+def test_hot_texts_are_split(spark):
+    """A text that a third of all rows have, with few buckets' share: several owners, one entry."""
+    r = random.Random(8)
+    rows = [(i if i % 7 else i - 1, "same" if i % 3 == 0 else f"text {r.randrange(150)}") for i in range(600)] + [(None, "same"), (None, "only null")]
+    found = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), capacity=20).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    by_sha = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    assert len(found) == len(rows)
+    for f in found:
+        ids = by_sha[f["text_sha256"]]
+        assert (f["group_size"], f["keep_id"]) == (len(ids), max((i for i in ids if i is not None), default=None))
+    kept = [f["text_sha256"] for f in found if f["kept"]]
+    assert sorted(kept) == sorted(by_sha)
+
+
+def test_results_come_from_the_bucket_files(spark, monkeypatch):
+    made = {}
+    write = exact_dedup.shared_table
+
+    def spy(df, label):
+        made[label] = write(df, label)
+        return made[label]
+
+    monkeypatch.setattr(exact_dedup, "shared_table", spy)
+    df = spark.createDataFrame([(i, f"text {i % 50}") for i in range(200)], "doc_id long, text string")
+    found = exact_dedup.exact_dedup(df, capacity=4)
+    buckets = {x["bucket"]: x["n"] for x in made["exact-index"].groupBy("bucket").count().withColumnRenamed("count", "n").collect()}
+    assert found.count() == 200 and len(buckets) > 8 and max(buckets.values()) <= 4 and sum(buckets.values()) == 50
+    # each bucket is one range of keys
+    ranges = sorted((x["low"] % 2**64, x["high"] % 2**64, x["bucket"]) for x in made["exact-index"].selectExpr("bucket", "conv(hex(h), 16, 10) AS u", "h").groupBy("bucket").agg(F.min_by("h", F.col("u").cast("decimal(20)")).alias("low"), F.max_by("h", F.col("u").cast("decimal(20)")).alias("high")).collect())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False)) and [x[2] for x in ranges] == sorted(buckets)
+    for f in made["exact-index"].inputFiles():
+        os.remove(f.removeprefix("file://"))
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        found.collect()
