@@ -261,7 +261,7 @@ def test_pages_against_plain_reading(spark):
 )
 def test_markup(html, text):
     page = html_extract.Page(html)
-    assert " ".join(t for _, main, t in page.blocks if main or not page.has_main) == text
+    assert " ".join(t for _, main, _, t in page.blocks if main or not page.has_main) == text
 
 
 def test_template_text_goes(spark):
@@ -282,6 +282,27 @@ def extracted(spark, rows):
     return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_names_only_break_ties(spark):
+    """Words of asides in a name drop nothing in an article; names that mean one do; unknown names go by the template."""
+    odd = '<div class="share-price"><p>Shares at {i}</p></div><div class="search-results"><p>found {i}</p></div><div class="alert-levels"><p>level {i}</p></div>'
+    page = '<html><body><article><h1>Title {i}</h1><div class="xq7"><p>Tell your friends</p></div><p>story {i}</p>' + odd + '<div class="related-posts"><p>other {i}</p></div><div class="comments"><p>I think {i}</p></div></article></body></html>'
+    rows = [(i, f"http://site/{i}", page.format(i=i)) for i in range(12)] + [(50, "http://alone/", page.format(i=50))]
+    found = extracted(spark, rows)
+    assert found[3] == "Title 3 story 3 Shares at 3 found 3 level 3"
+    assert found[50] == "Title 50 Tell your friends story 50 Shares at 50 found 50 level 50"
+
+
+def test_articles_of_the_template_go_before_teasers(spark):
+    teaser = '<div class="u"><article><p>teaser {i}</p></article></div>'
+    page = '<html><body><div class="z"><article><h1>T {i}</h1><p>story {i}</p></article></div>{more}</body></html>'
+    rows = [(i, f"http://site/{i}", page.format(i=i, more=teaser.format(i=i) if i % 4 == 0 else "")) for i in range(12)]
+    rows += [(i, f"http://plain/{i}", f'<html><body><div class="price-alert"><p>from {i}</p></div><div><h2>b {i}</h2><p>text {i}</p></div></body></html>') for i in range(20, 29)]
+    found = extracted(spark, rows)
+    assert found[4] == "T 4 story 4" and found[5] == "T 5 story 5" and found[21] == "b 21 text 21"
+    found = extracted(spark, [(1, "http://alone/", rows[4][2]), (2, "http://other/", rows[-1][2])])
+    assert found == {1: "T 4 story 4 teaser 4", 2: "from 28 b 28 text 28"}
+
+
 @pytest.mark.parametrize("tag", ["main", "article"])
 def test_template_text_in_main_goes(spark, tag):
     """What all pages of the host share goes from inside main and article elements too."""
