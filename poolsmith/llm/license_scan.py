@@ -23,24 +23,54 @@ from pyspark.sql import functions as F
 
 from poolsmith.llm.common import table, text_or_empty
 
+# The phrases of the base labels, and licence notices as they are published.
 BASE = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: (label, words, mandatory phrases)
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ["permission is hereby granted", "without restriction"]),
-    ("mit", "released under the mit license", ["mit license"]),
-    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", ["apache license"]),
-    ("apache-2", "licensed under the apache license version 2 0", ["apache license version 2"]),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", ["gnu general public license", "version 2"]),
-    ("lgpl", "licensed under the gnu lesser general public license", ["gnu lesser general public license"]),
-    ("agpl-3", "licensed under the gnu affero general public license version 3", ["gnu affero general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms", "with or without modification"]),
-    ("mpl-2", "subject to the terms of the mozilla public license version 2 0", ["mozilla public license"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-nc", "licensed under the creative commons attribution noncommercial license", ["creative commons attribution noncommercial"]),
-    ("cc-by-sa", "licensed under the creative commons attribution sharealike license", ["creative commons attribution sharealike"]),
-    ("cc-by", "licensed under the creative commons attribution license", ["creative commons attribution license"]),
+#: (label, text, mandatory phrases). Paragraphs of licences, notices that files begin with, titles and short references; signs between words don't count.
+NOTICES = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ["permission is hereby granted", "without restriction"]),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", ["permission is hereby granted", "without restriction"]),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ["above copyright notice and this permission notice shall be included"]),
+    ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement", ["the software is provided as is without warranty", "noninfringement"]),
+    ("mit", "released under the MIT license", ["mit license"]),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ["apache license"]),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", ["without warranties or conditions of any kind"]),
+    ("apache-2", "licensed under the Apache License, Version 2.0", ["apache license version 2"]),
+    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ["gnu general public license", "version 3"]),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", ["gnu general public license", "version 3"]),
+    ("gpl-3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ["gnu general public license version 3"]),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", ["gnu general public license", "version 2"]),
+    ("gpl-2", "This work is licensed under the GNU General Public License, version 2", ["gnu general public license", "version 2"]),
+    ("gpl-2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", ["gnu general public license version 2"]),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", ["gnu lesser general public license"]),
+    ("lgpl", "licensed under the GNU Lesser General Public License", ["gnu lesser general public license"]),
+    ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ["gnu lesser general public license version 3"]),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ["gnu affero general public license", "version 3"]),
+    ("agpl-3", "licensed under the GNU Affero General Public License, version 3", ["gnu affero general public license"]),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["source and binary forms", "with or without modification"]),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", ["this list of conditions and the following disclaimer"]),
+    ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ["this software is provided by", "any express or implied warranties"]),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived from this software"]),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify", "this permission notice appear in all copies"]),
+    ("isc", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ["disclaims all warranties with regard to this software"]),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", ["mozilla public license v 2"]),
+    ("mpl-2", "subject to the terms of the Mozilla Public License, version 2.0", ["mozilla public license version 2"]),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ["eclipse public license"]),
+    ("boost-1", "Distributed under the Boost Software License, Version 1.0", ["boost software license version 1"]),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", ["will the authors be held liable for any damages arising from the use of this software"]),
+    ("unlicense", "This is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
+    ("cc0", "Creative Commons CC0 1.0 Universal", ["cc0 1 0 universal"]),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4 0"]),
+    ("cc-by", "licensed under the Creative Commons Attribution license", ["creative commons attribution license"]),
+    ("cc-by", "licensed under CC BY 4.0", ["cc by 4 0"]),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["creative commons attribution sharealike"]),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0", ["cc by sa"]),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["creative commons attribution noncommercial"]),
+    ("cc-by-nc", "licensed under the Creative Commons Attribution NonCommercial license", ["creative commons attribution noncommercial"]),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0", ["cc by nc"]),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ["creative commons attribution noderivatives"]),
 ]
+#: Labels and what stands behind SPDX-License-Identifier for them.
+IDENTIFIERS = [("mit", "MIT"), ("apache-2", "Apache-2.0"), ("gpl-2", "GPL-2.0"), ("gpl-3", "GPL-3.0"), ("lgpl", "LGPL-2.1"), ("lgpl", "LGPL-3.0"), ("agpl-3", "AGPL-3.0"), ("bsd", "BSD-2-Clause"), ("bsd-3", "BSD-3-Clause"), ("isc", "ISC"), ("mpl-2", "MPL-2.0"), ("epl-2", "EPL-2.0"), ("boost-1", "BSL-1.0"), ("zlib", "Zlib"), ("unlicense", "Unlicense"), ("cc0", "CC0-1.0")]
 #: A template's words that are looked up: so many of the rarest.
 RAREST, DRIFT, ENOUGH = 12, 2, 0.6
 
@@ -66,6 +96,16 @@ def places(words: list[bytes], phrase: list[bytes], low: int = 0, high: int | No
         at += 1
 
 
+def _templates() -> list[tuple[str, list[bytes], list[list[bytes]]]]:
+    tags = [f"SPDX-License-Identifier: {name}" for _, name in IDENTIFIERS]
+    named = [*NOTICES, *((label, tag, [tag]) for (label, _), tag in zip(IDENTIFIERS, tags, strict=True))]
+    return [(label, words_of(text.encode()), [words_of(p.encode()) for p in phrases]) for label, text, phrases in named]
+
+
+#: (label, words, mandatory phrases)
+TEMPLATES = _templates()
+
+
 class Index:
     """Postings of the templates' words, with the words' rarity over the corpus."""
 
@@ -74,11 +114,10 @@ class Index:
         #: Of each template: places of its rare words.
         self.postings: list[dict[bytes, list[int]]] = []
         self.templates, self.weights = [], []
-        for label, text, phrases in TEMPLATES:
-            words = text.encode().split()
+        for label, words, phrases in TEMPLATES:
             rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:RAREST]
             self.postings.append({w: [at for at, x in enumerate(words) if x == w] for w in rare})
-            self.templates.append((label, words, [p.encode().split() for p in phrases]))
+            self.templates.append((label, words, phrases))
             self.weights.append(sum(self.weight(w) for w in words if w in rare))
         self.needed = [frozenset(w for p in phrases for w in p) for _, _, phrases in self.templates]
         self.base = [(p.encode().split(), label) for p, label in BASE.items()]
@@ -119,7 +158,7 @@ class Index:
         return len(words), sorted(at), labels, scores
 
 
-_vocabulary = frozenset(w for _, text, phrases in TEMPLATES for x in [text, *phrases] for w in x.encode().split()) | {w for p in BASE for w in p.encode().split()}
+_vocabulary = frozenset(w for _, words, phrases in TEMPLATES for x in [words, *phrases] for w in x) | {w for p in BASE for w in p.encode().split()}
 
 
 def vocabulary() -> frozenset[bytes]:
