@@ -33,7 +33,7 @@ from poolsmith.llm.common import fresh, table, text_or_empty
 LABELLED = 3000
 TOXIC_LANDMARKS, COMMON_LANDMARKS = 64, 8
 SPAN, DECAY, POWER = 5, 0.7, 4
-#: Sentences are cut after so many words.
+#: Longer sentences are read through windows of so many words, each of which begins in the middle of the one before.
 SENTENCE = 64
 ROUNDS, COST = 4, 10.0
 CUT = 0.7
@@ -154,12 +154,13 @@ def sentence_words(text: bytes) -> list[bytes]:
     return text.replace(b"\n", b" \0 ").split()
 
 
-def sentence_starts(ends: np.ndarray) -> np.ndarray:
-    """Where sentences begin, given which words end one; none is longer than SENTENCE."""
+def sentence_starts(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Where sentences and, in longer ones, windows of SENTENCE words begin, given which words end a sentence; and the other way to cut these, in the middle of windows (None: there are none)."""
     n = len(ends)
     first = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
     place = np.arange(n) - np.repeat(first, np.diff(np.concatenate([first, [n]])))
-    return np.flatnonzero(place % SENTENCE == 0)
+    starts = np.flatnonzero(place % SENTENCE == 0)
+    return starts, None if len(starts) == len(first) else np.flatnonzero((place == 0) | (place % SENTENCE == SENTENCE // 2))
 
 
 def distinct_words(words: np.ndarray, starts: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,17 +215,21 @@ class Model:
         for i, ws in enumerate(words):
             if ws:
                 at = np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))
-                shares, starts = self.shares[at], sentence_starts(self.ends[at])
+                shares = self.shares[at]
                 single = self.single[at]
                 if (single[3:] & single[2:-1] & single[1:-2] & single[:-3]).any():
                     shares = shares + self.spelled(ws, single)
                 # a word that a sentence repeats n times counts 1 + log(n) times if it speaks for toxicity, else once
-                key = np.cumsum(np.bincount(starts[1:], minlength=len(ws))) * len(self.place) + at
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                own = shares[first]
-                out[i] += np.bincount(key[first] // len(self.place), np.where(own > 0, own * (1 + np.log(n)), own), len(starts)).max()
+                out[i] += max(self.worst(at, shares, starts) for starts in sentence_starts(self.ends[at]) if starts is not None)
         return out
 
+    def worst(self, at: np.ndarray, shares: np.ndarray, starts: np.ndarray) -> float:
+        """The highest sum of shares of a sentence's words, given where sentences begin."""
+        key = np.cumsum(np.bincount(starts[1:], minlength=len(at))) * len(self.place) + at
+        _, first, n = np.unique(key, return_index=True, return_counts=True)
+        own = shares[first]
+        return np.bincount(key[first] // len(self.place), np.where(own > 0, own * (1 + np.log(n)), own), len(starts)).max()
+
     def spelled(self, words: list[bytes], single: np.ndarray) -> np.ndarray:
         """Four or more single letters in a row are read as one word; its share goes to the first of them."""
         out = np.zeros(len(words))
@@ -271,7 +276,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     rows, owner = [], []
     for i, d in enumerate(docs):
         if len(d):
-            starts = sentence_starts(ends[d])
+            starts, _ = sentence_starts(ends[d])
             sentence, at = distinct_words(of[d], starts, len(names))
             first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
             rows.append(np.add.reduceat(like[at], first, axis=0))
