@@ -7,8 +7,11 @@ apart, one is the other with that bit cleared). Complete distances are verified
 block by block, and only a spanning forest of each bucket's links is given out: components lose no link
 and a group of many near copies gives no square of rows. Copies are one fingerprint from the start.
 
-With ``segments`` * 2 > ``radius`` every link within the radius is found. A wider radius is searched with
-the recall that the segments give, see ``near_duplicates``.
+With ``segments`` * 2 > ``radius`` every link within the radius is found. Beyond some millions of fingerprints,
+tables are keyed by several segments together, so that a bucket holds a few fingerprints however many there
+are: of ``segments`` of which ``radius`` at most are touched, some ``segments`` - ``radius`` + 1 differ in one
+bit at most together. Buckets that are large all the same are dealt out in parts, each of which meets all others.
+A wider radius is searched with the recall that the segments give, see ``keep_one``.
 
 Defined results: a null text is empty; texts without a word have fingerprint zero; a null id is never the
 component's id unless all are null; repeated rows are separate documents of one component; an empty table
@@ -18,13 +21,14 @@ gives an empty result; columns other than id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolsmith.llm.common import checkpoint, fresh, table, text_or_empty
+from poolsmith.llm.common import checkpoint, fresh, hot_keys, spread_join, table, text_or_empty
 from poolsmith.llm.components import components
 
 SEED = 42
@@ -100,28 +104,37 @@ def fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_
     return base.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in also), *(f"{n} long" for n in names), *["set long", "shingles array<int>"] * sets]))
 
 
-def segment_places(bits: int, segments: int, width: int | None) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment: all bits dealt evenly, or the first bits in segments of the given width."""
-    if width:
-        return [(i * width, width) for i in range(segments)]
-    cuts = [bits * i // segments for i in range(segments + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def segment_places(bits: int, segments: int, width: int | None = None, together: int = 1) -> list[np.ndarray]:
+    """The bits of each table's key: all bits dealt evenly to segments, or the first ones in segments of the given width; ``together`` segments make up a key."""
+    cuts = [i * width if width else bits * i // segments for i in range(segments + 1)]
+    parts = [np.arange(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [np.concatenate(x) for x in combinations(parts, together)]
 
 
-def probes(fps: np.ndarray, places: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, row, own) of each segment's own value and of the values with one bit cleared."""
+def tables_for(fingerprints: int, radius: int) -> tuple[int, int]:
+    """(segments, of which together a key): the fewest tables whose buckets hold about 16 of so many fingerprints of 64 bits."""
+    together = 1
+    segments = radius // 2 + 1
+    while 64 * together / segments < min(48, np.log2(max(2, fingerprints)) - 4):
+        together += 1
+        segments = radius + together - 1
+    return segments, together
+
+
+def probes(fps: np.ndarray, places: list[np.ndarray], balls: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, own) of each table's own value and, with balls, of the values with one bit cleared."""
     keys, rows, own = [], [], []
     every = np.arange(len(fps))
     wide = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
-    for s, (first, width) in enumerate(places):
+    for s, bits in enumerate(places):
         value = np.zeros(len(fps), np.int64)
-        for b in range(width):
-            value = value << 1 | wide[:, first + b]
+        for b in bits:
+            value = value << 1 | wide[:, b]
         value |= s << 48
         keys.append(value), rows.append(every), own.append(np.ones(len(fps), bool))
-        for b in range(width):
-            has = np.flatnonzero(wide[:, first + b])
-            keys.append(value[has] ^ (1 << (width - 1 - b))), rows.append(has), own.append(np.zeros(len(has), bool))
+        for i, b in enumerate(bits if balls else []):
+            has = np.flatnonzero(wide[:, b])
+            keys.append(value[has] ^ (1 << (len(bits) - 1 - i))), rows.append(has), own.append(np.zeros(len(has), bool))
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(own)
 
 
@@ -265,25 +278,35 @@ def verify_buckets(members: DataFrame, similarity: float) -> DataFrame:
     return members.select("key", "id", "root", "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def search_buckets(fps: DataFrame, radius: int, segments: int, width: int | None, pairs_of) -> DataFrame:
-    """a, b, more: ids of the pairs that ``pairs_of`` (bucket_links or bucket_candidates) gives in each segment's buckets. fps: id, f0, f1, ..., distinct.
+#: At most so many ids or buckets are sent to every task; more are joined by a shuffle.
+SENT = 1 << 20
+#: A bucket in which more fingerprints stand is dealt out in parts of so many.
+STANDING = 4096
+
+
+def search_buckets(fps: DataFrame, radius: int, places: list[np.ndarray], pairs_of) -> DataFrame:
+    """a, b, more: ids of the pairs that ``pairs_of`` (bucket_links or bucket_candidates) gives in each table's buckets. fps: id, f0, f1, ..., distinct.
 
     more: the bucket, where pairs_of says that other pairs of it are left, else -1.
     """
     names = fps.columns[1:]
     lanes = len(names)
-    places = segment_places(64 * lanes, segments, width)
 
-    def deal(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            bits = np.stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(lanes)], axis=1)
-            for i in range(0, len(bits), 2000):
-                part = bits[i : i + 2000]
-                key, row, own = probes(part, places)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(ids[i : i + 2000][row]), *(pa.array(part[row, j].view(np.int64)) for j in range(lanes))], names=["key", "own", "id", *names])
-
-    def found(key, own, ids, bits):
+    def dealt(balls: bool) -> DataFrame:
+        def deal(batches):
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                bits = np.stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(lanes)], axis=1)
+                step = max(1, 2000 * 64 // sum(map(len, places)))
+                for i in range(0, len(bits), step):
+                    part = bits[i : i + step]
+                    key, row, own = probes(part, places, balls)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(ids[i : i + step][row]), *(pa.array(part[row, j].view(np.int64)) for j in range(lanes))], names=["key", "own", "id", *names])
+
+        return fps.mapInArrow(deal, ", ".join(["key long", "own boolean", "id long", *(f"{n} long" for n in names)]))
+
+    def found(pieces):
+        key, own, ids, bits = (np.concatenate(x) for x in zip(*pieces, strict=True))
         a, b, *more = pairs_of(key, bits, own, radius)
         more = np.where(more[0], key[a], -1) if more else np.full(len(a), -1)
         pairs = np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), more], axis=1)
@@ -291,35 +314,60 @@ def search_buckets(fps: DataFrame, radius: int, segments: int, width: int | None
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], names=["a", "b", "more"])
 
     def search(batches):
-        """Buckets arrive whole, one after the other: the last one of a batch waits for the next batch."""
-        kept = None
+        """Buckets arrive whole, one after the other: the last one of a batch waits for what follows. Parts of a bucket are buckets of their own here."""
+        kept, last = [], None
         for batch in batches:
-            now = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), np.stack([batch.column(3 + j).to_numpy().view(np.uint64) for j in range(lanes)], axis=1)
-            if kept is not None:
-                now = tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
-            last = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
-            if last:
-                yield found(*(x[:last] for x in now))
-            kept = tuple(x[last:] for x in now)
-        if kept is not None and len(kept[0]):
-            yield found(*kept)
-
-    dealt = fps.mapInArrow(deal, ", ".join(["key long", "own boolean", "id long", *(f"{n} long" for n in names)]))
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, more long")
-
-
-def near_duplicates(docs: DataFrame, size: int = 4, lanes: int = 1, radius: int = 4, segments: int = 3, width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, f0.., component_id (the smallest doc_id reachable), n_texts: fingerprints in the component, one row per row."""
+            if not batch.num_rows:
+                continue
+            key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            now = key, batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(), np.stack([batch.column(4 + j).to_numpy().view(np.uint64) for j in range(lanes)], axis=1)
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+            begin = 0
+            if last is not None and (key[0], part[0]) != last:
+                edges = np.concatenate([[0], edges])
+            if len(edges):
+                # parts of one key are taken one by one; whole keys together, up to the last one
+                cuts = [e for e in edges if e == edges[-1] or part[max(0, e - 1)] or part[min(e, len(part) - 1)]]
+                for end in cuts:
+                    kept.append(tuple(x[begin:end] for x in now))
+                    if sum(len(x[0]) for x in kept):
+                        yield found(kept)
+                    kept, begin = [], end
+            kept.append(tuple(x[begin:] for x in now))
+            last = (key[-1], part[-1])
+        if kept:
+            yield found(kept)
+
+    rows = dealt(True)
+    crowded = checkpoint(dealt(False).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > STANDING).select("key", F.ceil(F.col("n") / F.lit(STANDING)).cast("int").alias("parts")))
+    if crowded.isEmpty():
+        rows = rows.withColumn("part", F.lit(0))
+    else:  # each row goes to all parts of its bucket, and stands in one of them
+        if crowded.count() <= SENT:
+            crowded = F.broadcast(crowded)
+        rows = rows.join(crowded, "key", "left")
+        rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("parts")))))
+        rows = rows.withColumn("own", F.col("own") & (F.col("parts").isNull() | (F.col("part") == F.col("home") + 1)))
+    return rows.select("key", "part", "own", "id", *names).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(search, "a long, b long, more long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, lanes: int = 1, radius: int = 4, tables: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, f0.., component_id (the smallest doc_id reachable), n_texts: fingerprints in the component, one row per row.
+
+    tables: segments and how many of them together are a key; by the number of fingerprints where none are given.
+    """
     found = checkpoint(fingerprints(docs, size, lanes, id_col, text_col))
     names = [f"f{i}" for i in range(lanes)]
     # a fingerprint of one number is its own id
     distinct = found.groupBy(*names).agg(F.min("doc_id").alias("low"))
     distinct = checkpoint(distinct.withColumn("id", F.col("f0") if lanes == 1 else F.monotonically_increasing_id()))
-    roots = components(search_buckets(distinct.select("id", *names), radius, segments, width, bucket_links))
-    tops = distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    groups = tops.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n_texts"))
-    placed = checkpoint(tops.join(groups, "root").select(*names, "component_id", "n_texts"))
-    return found.join(placed, names).select("doc_id", *names, "component_id", "n_texts")
+    segments, together = tables or tables_for(distinct.count(), radius)
+    places = segment_places(64 * lanes, segments, together=together)
+    roots = components(search_buckets(distinct.select("id", *names), radius, places, bucket_links))
+    tops = checkpoint(distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    groups = checkpoint(tops.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n_texts")))
+    placed = checkpoint(spread_join(tops, groups, ["root"], hot=hot_keys(tops, ["root"])).select(*names, "component_id", "n_texts"))
+    return spread_join(found, placed, names, hot=hot_keys(found, names)).select("doc_id", *names, "component_id", "n_texts")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -361,10 +409,6 @@ def short_links(classes: DataFrame, similarity: float) -> DataFrame:
     return checkpoint(verify_buckets(members, similarity).distinct())
 
 
-#: Ids of at most so many texts are sent to every task; more are joined by a shuffle.
-SENT = 1 << 20
-
-
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int = 4, radius: int = 52, segments: int = 8, width: int = 14) -> DataFrame:
     """docs with one row of each group of near-duplicates, the one with the smallest id; all columns stay.
 
@@ -385,7 +429,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int
     classes = checkpoint(prints.groupBy("set", *names).agg(F.min("text_hash").alias("id"), F.first("shingles").alias("shingles")))
     short = short_links(classes, similarity)
     long = classes.where(F.col("shingles").isNull() | (F.size("shingles") > SHORT))
-    candidates = checkpoint(search_buckets(long.select("id", *names), radius, segments, width, bucket_candidates))
+    candidates = checkpoint(search_buckets(long.select("id", *names), radius, segment_places(64 * lanes, segments, width), bucket_candidates))
     pairs = checkpoint(candidates.select("a", "b").distinct())
     needed = checkpoint(pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct())
     if needed.count() <= SENT:
@@ -399,7 +443,8 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, lanes: int
     rest = verify_rest(candidates, roots, sets, similarity)
     if not rest.isEmpty():
         roots = components(alike.union(rest))
-    placed = prints.drop("shingles").join(classes.drop("shingles"), ["set", *names]).join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
+    classed = prints.drop("shingles")
+    placed = spread_join(classed, classes.drop("shingles"), ["set", *names], hot=hot_keys(classed, ["set", *names])).join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
     key, kept_id, kept_hash = (fresh(n, docs.columns) for n in ("_hash", "_kept_id", "_kept_hash"))
     kept = checkpoint(best.select(F.col("best.doc_id").alias(kept_id), F.col("best.text_hash").alias(kept_hash)))

@@ -97,7 +97,7 @@ def test_no_link_is_lost():
         for _ in range(400):
             prints.add(centre ^ sum(1 << b for b in r.sample(range(64), r.randrange(6))))
     fps = np.array(sorted(prints), np.uint64)
-    key, row, own = simhash.probes(fps[:, None], simhash.segment_places(64, 3, None))
+    key, row, own = simhash.probes(fps[:, None], simhash.segment_places(64, 3))
     order = np.argsort(key, kind="stable")
     for block in (simhash.BLOCK, 64):
         simhash.BLOCK, kept = block, simhash.BLOCK
@@ -109,6 +109,44 @@ def test_no_link_is_lost():
         assert len(a) < 45 * len(fps)
 
 
+@pytest.mark.parametrize("segments, together", [(3, 1), (5, 2), (6, 3), (7, 4)])
+def test_every_pair_within_the_radius_shares_a_bucket(segments, together):
+    """Whatever four bits differ, some table has the one value within a cleared bit of the other."""
+    r = random.Random(14)
+    places = simhash.segment_places(64, segments, together=together)
+    for _ in range(60):
+        x = r.getrandbits(64)
+        y = x ^ sum(1 << b for b in r.sample(range(64), r.choice([1, 3, 4, 4])))
+        key, row, own = simhash.probes(np.array([[x], [y]], np.uint64), places)
+        stand = {(k, i) for k, i, o in zip(key.tolist(), row.tolist(), own.tolist(), strict=True) if o}
+        assert any((k, 1 - i) in stand for k, i in zip(key.tolist(), row.tolist(), strict=True))
+
+
+def test_tables_grow_with_the_corpus():
+    assert simhash.tables_for(10**6, 4) == (3, 1)
+    for n in (10**8, 10**10, 10**12):
+        segments, together = simhash.tables_for(n, 4)
+        assert together > 1 and segments == together + 3 and n / 2 ** (64 * together / segments) <= 20
+
+
+@pytest.mark.parametrize("tables, standing", [((5, 2), 4096), ((3, 1), 8)])
+def test_tables_and_parts_change_nothing(spark, monkeypatch, tables, standing):
+    r = random.Random(15)
+    docs = []
+    for _ in range(25):
+        words = [r.choice("abcdefghij") * r.randrange(1, 4) for _ in range(60)]
+        for _ in range(r.randrange(1, 14)):
+            edited = list(words)
+            edited[r.randrange(60)] = "zz"
+            docs.append(" ".join(edited))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    prints = [brute_print(t) for t in docs]
+    want = groups_of(len(docs), [(a, b) for a in range(len(docs)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    monkeypatch.setattr(simhash, "STANDING", standing)
+    found = simhash.near_duplicates(df, tables=tables).collect()
+    assert {f["doc_id"]: f["component_id"] for f in found} == dict(enumerate(want))
+
+
 def test_shortest_forest():
     r = np.random.default_rng(5)
     a, b, d = r.integers(0, 50, 400), r.integers(50, 100, 400), r.integers(0, 9, 400)
