@@ -10,8 +10,8 @@ probability by a logistic fit. As the decision is linear in the words, each word
 and remembered.
 
 Defined results: a null text is empty and is scored like any text without a hit; a null id counts as held
-out or not like the text "" does; repeated rows are scored each; without labels of both kinds every score is
-0; an empty table gives an empty result; label, language, source and id are never inputs of a score.
+out or not like the text "" does; repeated rows are scored each; without labels of both kinds, or
+words that rows of one kind have, every score is 0; an empty table gives an empty result; label, language, source and id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -269,6 +269,8 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     far = {w: (up[w] - n * rate) / np.sqrt(n * rate * (1 - rate)) for w, n in all_.items() if up[w] >= 3 and 2 * up[w] > n and len(w) > 2}
     landmarks = sorted(far, key=lambda w: (-far[w], w))[:TOXIC_LANDMARKS]
     landmarks += [w for w, _ in sorted(down.items(), key=lambda x: (-x[1], x[0])) if w not in landmarks][:COMMON_LANDMARKS]
+    if not landmarks:  # no word tells the two kinds apart
+        return Model(None, None, 0.0, (0.0, 0.0))
     kernel = Kernel(landmarks)
     like = np.zeros((len(names), len(landmarks)), np.float32)
     if len(names) > 1:
@@ -320,7 +322,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> Model:
         return Model(None, None, 0.0, (0.0, 0.0))
     # at most ``sample`` ids
     ids = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in chosen], "doc_id long, toxic int"))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(sample)
+    # of rows with one id the least text, whatever order they come in
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = [], []

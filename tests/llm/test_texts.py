@@ -7,6 +7,7 @@ from html import unescape
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from poolsmith.llm import html_extract, license_scan, packing, pii, piece_codec, quality, toxicity
 
@@ -499,3 +500,14 @@ def test_quality_verdicts(spark):
     found = [r for r in quality.query(spark, sf).collect() if r["doc_id"] in good]
     kept = lambda q: np.mean([r["kept"] for r in found if good[r["doc_id"]] == q and not r["base_failed"]])
     assert kept(1) > 0.98 and kept(0) < 0.6
+
+
+def test_quality_on_rows_held_out(spark):
+    """Forest and threshold from two thirds of the labelled rows, measured on the others."""
+    sf = "/root/testdata/sf0.1"
+    known = spark.read.parquet(f"{sf}/labels.parquet").withColumn("out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    good = {r["doc_id"]: r["quality"] for r in known.where("out").collect()}
+    found = [r for r in quality.quality(spark.read.parquet(f"{sf}/documents.parquet"), known.where("not out").drop("out")).collect() if r["doc_id"] in good]
+    kept = lambda q: np.mean([r["kept"] for r in found if good[r["doc_id"]] == q and not r["base_failed"]])
+    print("held out: kept of good", kept(1), "of bad", kept(0))
+    assert kept(1) > 0.97 and kept(0) < 0.65
