@@ -110,3 +110,31 @@ FULL_BODY_PATTERNS = [
         ],
     ),
 ]
+
+# --- messages to models -------------------------------------------------------------------------
+
+#: What a judge and a filter are shown. A part whose value is missing is left out with its label.
+SOURCE_LABEL, PAGE_LABEL, BREADCRUMB_LABEL = "Source: ", "Page: ", "Breadcrumb: "
+JUDGE_MESSAGE = "## Query\n{query}\n\n## Guideline chunk\n{head}---\n{text}\n---"
+FILTER_MESSAGE = "{head}Chunk:\n{text}"
+
+REWRITE_TYPES = [
+    "abbreviation",
+    "typo",
+    "lay_synonym",
+    "redundant_context",
+    "ambiguous",
+    "multi_condition",
+    "negation",
+    "rare_exact",
+]
+
+#: Fields of a label, by rubric: a set of fields is a version.
+RUBRIC_FIELDS = {
+    "v1_boolean": ["query_id", "chunk_id", "llm_judge_schema_version", "llm_judge_prompt_hash", "llm_backend", "llm_model", "reasoning", "d1_topic", "d2_meaningful", "d3_actionable", "score"],
+    "v2_graded": ["query_id", "chunk_id", "llm_judge_schema_version", "llm_judge_prompt_hash", "llm_backend", "llm_model", "d1_topic", "d2_meaningful", "d3_actionable", "d4_density", "_error"],
+}
+FILTER_FIELDS = ["chunk_id", "llm_filter_schema_version", "llm_filter_prompt_hash", "llm_backend", "llm_model", "query", "reason"]
+
+#: Cosines that tell a sound encoder: of texts on one topic all above the first, of unrelated ones below the second.
+SANE_SAME, SANE_UNRELATED = 0.5, 0.3

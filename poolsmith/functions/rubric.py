@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolsmith.functions import fixed
+from poolsmith.functions.text import stripped
+
 
 def grade_v1(d1: Column, d2: Column, d3: Column) -> Column:
     """(d1, d2, d3, score): off topic is nothing; actionable implies meaningful; score = d2 + d3."""
@@ -30,12 +34,18 @@ def score_v2(d1: Column, d2: Column, d3: Column, d4: Column) -> Column:
 
 
 def tolerant_int(text: Column) -> Column:
-    """A number out of what a judge wrote: labels before it go, fractions are cut off, anything else is 0."""
-    for label in ("score=", "score: ", "D2=", "D3=", "D4="):
-        text = F.replace(F.trim(text), F.lit(label), F.lit(""))
-    text = F.trim(text)
-    said = F.when(F.lower(text) == "true", F.lit(1)).when(F.lower(text) == "false", F.lit(0))
-    return F.coalesce(said, text.try_cast("int"), F.when(F.rlike(text, F.lit(r"^[+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?$")), text.try_cast("double").cast("int")), F.lit(0))
+    """A number out of what a judge wrote: labels at its beginning go, each once and in their order; fractions are cut off; anything else is 0."""
+    text = stripped(text)
+    for label in fixed.NUMBER_LABELS:
+        text = F.regexp_replace(text, "^" + re.escape(label), "")
+    text = stripped(text)
+    number = F.rlike(text, F.lit(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"))
+    return F.coalesce(text.try_cast("int"), F.when(number, text.try_cast("double").cast("int")), F.lit(0))
+
+
+def boolean_int(value: Column) -> Column:
+    """The same for a reply that holds a boolean, not a text: true is 1."""
+    return F.coalesce(value.cast("int"), F.lit(0))
 
 
 def read_reply(reply: str | None, thinking: str = "") -> tuple[str | None, str, str]:

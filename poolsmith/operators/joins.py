@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from poolsmith.sources.shared import shared_table
+
 PAIR = ["query_id", "chunk_id"]
 
 
@@ -24,6 +26,30 @@ def unjudged(pairs: DataFrame, judged: DataFrame) -> DataFrame:
     return pairs.join(judged.select(*PAIR), PAIR, "left_anti")
 
 
+def first_few(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group; Spark cuts each task's part of a group to n before it shuffles."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def numbered(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """rows with their place from 1 on in the given order. Rows are sorted by ranges over all tasks; what one task adds up is the number of rows in each range."""
+    placed = shared_table(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_m", 33)), "numbered")
+    before = F.sum("_in").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_in"), F.min("_m").alias("_first")).withColumn("_before", F.coalesce(before, F.lit(0)))  # a row for each task
+    return placed.join(F.broadcast(ranges), "_range").withColumn(name, (F.col("_before") + F.col("_m") - F.col("_first") + 1).cast("int")).drop("_m", "_range", "_in", "_first", "_before")
+
+
+def with_query_text(pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, query_text, candidates: pairs regrouped under their query's text."""
+    return regroup(pairs).join(queries.select("query_id", "query_text"), "query_id").select("query_id", "query_text", "candidates")
+
+
+def with_chunk_text(pairs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, int]:
+    """(pairs with their chunk's text, number of pairs whose chunk is missing)."""
+    joined = pairs.join(chunks.select("chunk_id", "text"), "chunk_id", "left")
+    return joined.where("text IS NOT NULL"), pairs.join(chunks.where("text IS NOT NULL").select("chunk_id"), "chunk_id", "left_anti").count()
+
+
 def regroup(pairs: DataFrame) -> DataFrame:
     """query_id, candidates: sorted; queries without a pair are not there."""
     return pairs.groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("candidates"))
@@ -118,7 +144,9 @@ def shard(df: DataFrame, index: int, count: int, order: str, contiguous: bool =
 
 def shuffled(df: DataFrame, key: str, seed: int, limit: int | None = None) -> DataFrame:
     """A stable shuffle: ordered by a hash of seed and key."""
-    out = df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    from poolsmith.operators.sampling import order_of
+
+    out = df.orderBy(order_of(seed, key), key)
     return out if limit is None else out.limit(limit)
 
 
@@ -135,11 +163,11 @@ def review(chunks: DataFrame, source: str | None = None, section: str | None = N
 
     if offset < 0 or (limit or 0) < 0:
         raise ValueError("offset and limit must not be negative")
-    rows = chunks.withColumn("ordinal", F.row_number().over(Window.orderBy("pos"))).withColumn("words", X.word_count(F.col("text")))
+    rows = numbered(chunks.select("chunk_id", "pos"), "ordinal", "pos").drop("pos").join(chunks, "chunk_id").withColumn("words", X.word_count(F.col("text")))
     like = lambda c, x: F.contains(F.lower(c), F.lit(x.lower()))
     for given, test in ((source, lambda: F.col("source") == source), (section, lambda: like(F.col("section"), section)), (contains, lambda: like(F.concat_ws("\n", "breadcrumb", "section", "text"), contains)), (min_words, lambda: F.col("words") >= min_words), (max_words, lambda: F.col("words") <= max_words)):
         if given is not None:
             rows = rows.where(test())
-    rows = rows.orderBy("ordinal") if seed is None else rows.orderBy(F.xxhash64(F.lit(seed), "chunk_id"))
+    rows = rows.orderBy("ordinal") if seed is None else shuffled(rows, "chunk_id", seed)
     rows = rows.offset(offset) if offset else rows
     return rows if limit is None else rows.limit(limit)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from poolsmith.functions import fixed
+
 PAIR = ["query_id", "chunk_id"]
 
 
@@ -146,6 +148,29 @@ def agreement(a: DataFrame, b: DataFrame, thresholds: list[int]) -> DataFrame:
     return both.agg(F.array(*map(cell, thresholds)).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
+def size_stats(sets: DataFrame, spine: DataFrame) -> DataFrame:
+    """mean, min, max of the sizes of queries' sets (query_id, chunk_id): the mean is over all queries of the spine, the others over queries that have a set."""
+    sizes = sets.select(*PAIR).distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    every = spine.select("query_id").distinct().agg(F.count("*").alias("queries"))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"), F.min("n").cast("double").alias("min"), F.max("n").cast("double").alias("max")).crossJoin(every).select("queries", F.try_divide(F.col("s").cast("double"), F.col("queries")).alias("mean"), "min", "max")  # one row
+
+
+def score_views(rankings: DataFrame, first: DataFrame, second: DataFrame, k: int) -> DataFrame:
+    """view, score, n: scores of the top k under either set of labels, and under both, where the second one holds."""
+    top = rankings.where(F.col("rank") <= k).select("retriever", *PAIR)
+    side = lambda df, name: df.select(*PAIR, F.col("score").alias(name))
+    joined = top.join(side(first, "a"), PAIR, "left").join(side(second, "b"), PAIR, "left")
+    views = F.array(*(F.struct(F.lit(v).alias("view"), c.alias("score")) for v, c in (("first", F.col("a")), ("second", F.col("b")), ("union", F.coalesce("b", "a")))))
+    return joined.select(F.explode(views).alias("v")).select("v.*").where("score IS NOT NULL").groupBy("view", "score").agg(F.count("*").alias("n"))
+
+
+def sanity_gate(pairs: DataFrame) -> DataFrame:
+    """same_min, unrelated_max, verdict of pairs (kind: "same" or "unrelated", cosine): an encoder is sound when all texts on one topic are near, and unrelated ones far."""
+    found = pairs.agg(F.min(F.when(F.col("kind") == "same", F.col("cosine"))).alias("same_min"), F.max(F.when(F.col("kind") == "unrelated", F.col("cosine"))).alias("unrelated_max"))
+    sound = (F.col("same_min") > fixed.SANE_SAME) & (F.col("unrelated_max") < fixed.SANE_UNRELATED)
+    return found.withColumn("verdict", F.when(sound, "pass").otherwise("fail"))
+
+
 def paired_gap(a: DataFrame, b: DataFrame, value: str, keys: list[str], tolerance: float) -> DataFrame:
     """keys, a, b, gap, close: two runs of a metric side by side."""
     return a.select(*keys, F.col(value).alias("a")).join(b.select(*keys, F.col(value).alias("b")), keys).withColumn("gap", F.col("a") - F.col("b")).withColumn("close", F.abs("gap") < tolerance)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsmith.functions.text import tokens
+from poolsmith.sources.shared import shared_table
 
 PAIR = ["query_id", "chunk_id"]
 
@@ -24,91 +25,155 @@ def ranked(scores: DataFrame, k: int, *by: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame, text: Column | None = None) -> DataFrame:
-    """term, chunk_id, tf, dl: one row for each term of a chunk, made without a shuffle; dl is the chunk's length in tokens."""
-    words = chunks.select("chunk_id", tokens(F.col("text") if text is None else text).alias("w")).withColumn("dl", F.size("w"))
+#: At most so many rows are sent to every task; more are joined by a shuffle.
+SENT = 1 << 20
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df, to be sent to every task where it is small; it is counted first."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def tokenised(chunks: DataFrame, text: Column | None = None) -> DataFrame:
+    """chunk_id, dl, w: each chunk's tokens and their number, written once, so that texts are read and cut in one pass."""
+    words = chunks.select("chunk_id", tokens(F.col("text") if text is None else text).alias("w"))
+    return shared_table(words.select("chunk_id", F.size("w").alias("dl"), "w"), "tokens")
+
+
+def postings(words: DataFrame) -> DataFrame:
+    """term, chunk_id, tf, dl: one row for each term of a chunk. Counted within the chunk's task before anything is shuffled."""
     return words.select("chunk_id", "dl", F.explode("w").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_statistics(chunks: DataFrame, posted: DataFrame, text: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(term, df; n, avgdl): document frequencies, and one row on the corpus."""
-    lengths = chunks.select(F.size(tokens(F.col("text") if text is None else text)).alias("dl"))
-    return posted.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def term_statistics(words: DataFrame) -> DataFrame:
+    """term, df, total: in how many chunks a term is, and how often. Each task combines its chunks' counts first."""
+    distinct = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = words.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("total"))
+    return distinct.join(total, "term")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, include_breadcrumb: bool = False, fill: bool = True) -> DataFrame:
-    """query_id, chunk_id, score, rank of the Okapi top k.
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, include_breadcrumb: bool = False, fill: bool = True, words: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank of the Okapi top k. words: the chunks' tokens, where they have been made already.
 
     idf = ln(n - df + 0.5) - ln(df + 0.5), negative ones become epsilon times the mean idf; a query's terms
-    count as often as it has them. Only postings of query terms are joined. fill: queries with less than k
-    matching chunks get further chunks with score 0, in order of id.
+    count as often as it has them. Only tokens that are query terms leave their chunk's task, so that a stop
+    word that no query has costs nothing; their counts are dealt by chunk, where the scores are summed without
+    another shuffle. fill: chunks that share no term with a query have score 0, and compete in order of id.
     """
-    text = F.concat_ws("\n", F.nullif("breadcrumb", F.lit("")), "text") if include_breadcrumb else F.col("text")
-    posted = postings(chunks, text)
-    df, corpus = corpus_statistics(chunks, posted, text)
-    idf = df.crossJoin(corpus).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row
-    mean = idf.agg(F.avg("idf").alias("mean"))
-    idf = idf.crossJoin(mean).select("term", "avgdl", F.when(F.col("idf") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("idf")).alias("idf"))  # one row
+    words = words or tokenised(chunks, F.concat_ws("\n", F.nullif("breadcrumb", F.lit("")), "text") if include_breadcrumb else None)
+    n, avgdl = words.agg(F.count("*"), F.avg("dl")).first()
+    df = shared_table(words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    rarity = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = df.agg(F.avg(rarity)).first()[0]
     asked = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = asked.join(idf, "term").join(posted, "term").groupBy(*PAIR).agg(F.sum(part).alias("score"))
-    if fill:
-        first = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)  # a query has less than k matches or needs none of these
-        short = queries.select("query_id").join(scores.groupBy("query_id").agg(F.count("*").alias("m")), "query_id", "left").where(F.coalesce("m", F.lit(0)) < k).select("query_id")
-        zero = short.crossJoin(first).join(scores.select(*PAIR), PAIR, "left_anti").withColumn("score", F.lit(0.0))  # 2 k rows
-        scores = scores.unionByName(zero)
-    return ranked(scores, k)
+    idf = F.when(rarity < 0, F.lit(epsilon) * F.lit(mean)).otherwise(rarity)
+    asked = shared_table(asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf * (k1 + 1)).alias("weight")), "asked")
+    terms = sent(asked.select("term").distinct())
+    counted = words.select("chunk_id", "dl", F.explode("w").alias("term")).join(terms, "term", "left_semi").repartition("chunk_id").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    scores = counted.join(sent(asked), "term").groupBy("chunk_id", "query_id").agg(F.sum(part).alias("score")).select(*PAIR, "score")
+    if not fill:
+        return ranked(scores, k)
+    top = shared_table(ranked(scores, k), "top")
+    short = queries.select("query_id").join(top.where(F.round("score", 6) > 0).groupBy("query_id").agg(F.count("*").alias("m")), "query_id", "left").where(F.coalesce("m", F.lit(0)) < k).select("query_id")
+    if short.isEmpty():
+        return top
+    # of the chunks without a shared term, the k first by id are enough; with less than k matches, they are among the first 2 k
+    # chunks, and with more matches whose scores are negative, among as many more
+    most = scores.groupBy("query_id").agg(F.count("*").alias("m")).join(short, "query_id", "left_semi").agg(F.max("m")).first()[0] or 0
+    first = words.select("chunk_id").orderBy("chunk_id").limit(k + most)
+    shared = words.join(first, "chunk_id", "left_semi").select("chunk_id", F.explode(F.array_distinct("w")).alias("term")).join(asked.join(short, "query_id", "left_semi"), "term").select(*PAIR).distinct()
+    zero = short.crossJoin(first).join(shared, PAIR, "left_anti").withColumn("score", F.lit(0.0))  # some more than k rows a query
+    return ranked(top.drop("rank").unionByName(ranked(zero, k).drop("rank")), k)
+
+
+def containing(queries: DataFrame, chunks: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id: chunks whose text holds the query's.
+
+    What holds a text has each of its inner tokens; chunks with its rarest one are looked up and compared. Only
+    the first and last token may be part of a longer one, so texts of less than three tokens, which have no
+    inner token, are held against all chunks.
+    """
+    cut = queries.select("query_id", "query_text", tokens(F.col("query_text")).alias("w")).where("query_text IS NOT NULL")
+    inner = cut.where(F.size("w") > 2).select("query_id", "query_text", F.explode(F.array_distinct(F.slice("w", 2, F.size("w") - 2))).alias("term"))
+    words = (words or tokenised(chunks)).select("chunk_id", F.explode(F.array_distinct("w")).alias("term"))
+    df = words.join(sent(inner.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = shared_table(inner.join(df, "term").groupBy("query_id", "query_text").agg(F.min_by("term", F.struct("df", "term")).alias("term")), "rarest")
+    near = words.join(sent(rarest.select("term").distinct()), "term", "left_semi").join(sent(rarest), "term")
+    found = near.join(chunks.select("chunk_id", "text"), "chunk_id").where(F.contains("text", F.col("query_text"))).select(*PAIR)
+    short = cut.where(F.size("w") <= 2).select("query_id", "query_text")
+    if short.isEmpty():
+        return found
+    return found.unionByName(chunks.select("chunk_id", "text").crossJoin(short).where(F.contains("text", F.col("query_text"))).select(*PAIR))  # a stated query set against all rows
+
+
+# --- vectors, in blocks -------------------------------------------------------------------------
 
+#: Vectors in a block of queries and of the corpus; blocks of queries of at most so many bytes in all are sent to every task.
+QUERY_BLOCK, CORPUS_BLOCK, SENT_BYTES = 256, 1024, 64 << 20
 
-def dense(queries: DataFrame, corpus: DataFrame, k: int, block: int = 256, cosine: bool = True) -> DataFrame:
-    """query_id, chunk_id, score, rank of the exact top k. queries: query_id, embedding; corpus: chunk_id, embedding.
 
-    Queries are gathered into blocks of about ``block``; a task multiplies each block with a batch of the
-    corpus and keeps the block's best k of its partition, so that a partition gives out k rows a query.
+def packed(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """ids, counts, matrix: rows (id, arrays of vectors) of a partition in blocks of ``size`` rows. Rows without vectors are left out."""
+    kind = rows.schema[name].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, size):
+                part = batch.slice(i, size)
+                vectors = part.column(1).flatten()
+                numbers = np.ascontiguousarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type)), pa.array([part.column(1).value_lengths().to_pylist()], pa.list_(pa.int32())), pa.array([numbers.tobytes()], pa.large_binary() if len(numbers) >= 1 << 29 else pa.binary())], names=["ids", "counts", "matrix"])
+
+    return rows.where(F.size("vectors") > 0).select(name, F.col("vectors").cast("array<array<float>>")).mapInArrow(run, f"ids array<{kind}>, counts array<int>, matrix binary")
+
+
+def best_of_blocks(queries: DataFrame, corpus: DataFrame, k: int, unit: bool) -> DataFrame:
+    """query_id, chunk_id, score, rank: queries and corpus as (id, vectors: an array of vectors).
+
+    A score is the sum, over the query's vectors, of the best product with one of the chunk's. Blocks of
+    queries meet blocks of the corpus: a pair of blocks is one product of matrices, which gives out k rows a query.
     """
-    blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(queries.count()) / F.lit(block)) + 1).alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
+    asked = packed(queries, "query_id", QUERY_BLOCK)
     q_type, c_type = queries.schema["query_id"].dataType, corpus.schema["chunk_id"].dataType
+    asked = shared_table(asked.select(F.col("ids").alias("q_ids"), F.col("counts").alias("q_counts"), F.col("matrix").alias("q_matrix")), "queries")
+    weight = asked.agg(F.sum(F.octet_length("q_matrix"))).first()[0] or 0
 
-    def matrix(vectors: list) -> np.ndarray:
-        m = np.array(vectors, np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if cosine else m
+    def matrix(raw: bytes, counts: np.ndarray) -> np.ndarray:
+        m = np.frombuffer(raw, np.float32).astype(np.float64).reshape(counts.sum(), -1)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if unit else m
 
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(_r=frame["score"].round(6)).sort_values(["query_id", "_r", "chunk_id"], ascending=[True, False, True])
-        return frame.groupby("query_id", sort=False).head(k).drop(columns="_r")
+    def first(counts: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(counts)[:-1]])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict = {}
         for batch in batches:
-            frame = batch.to_pandas()
-            for name, part in frame.groupby("block"):
-                rows = part["q"].iloc[0]
-                ids = np.array([r["query_id"] for r in rows])
-                scores = matrix([r["embedding"] for r in rows]) @ matrix(list(part["embedding"])).T
-                chunk_ids = part["chunk_id"].to_numpy()
-                n = min(4 * k + 16, scores.shape[1])  # more than k, for ties in the rounded score
-                at = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                cut = np.round(np.take_along_axis(scores, at, 1).min(1), 6)
-                found = [pd.DataFrame({"query_id": np.repeat(ids, n), "chunk_id": chunk_ids[at.ravel()], "score": np.take_along_axis(scores, at, 1).ravel()})]
-                full = (np.round(scores, 6) == cut[:, None]).sum(1) > 1
-                for i in np.flatnonzero(full & (n < scores.shape[1])):  # a tie at the cut: all of its rows compete
-                    tied = np.flatnonzero(np.round(scores[i], 6) == cut[i])
-                    found.append(pd.DataFrame({"query_id": ids[i], "chunk_id": chunk_ids[tied], "score": scores[i, tied]}))
-                kept[name] = best(pd.concat([kept[name], *found] if name in kept else found).drop_duplicates(["query_id", "chunk_id"]))
-        for frame in kept.values():
-            yield pa.RecordBatch.from_pandas(frame.reset_index(drop=True), preserve_index=False)
-
-    pairs = corpus.select("chunk_id", "embedding").crossJoin(blocks)  # a stated query set against all rows, in blocks
+            for i in range(batch.num_rows):
+                c_ids, c_counts, c_raw, q_ids, q_counts, q_raw = (batch.column(j)[i] for j in range(6))
+                c_counts, q_counts = (x.values.to_numpy() for x in (c_counts, q_counts))
+                scores = matrix(q_raw.as_py(), q_counts) @ matrix(c_raw.as_py(), c_counts).T
+                scores = np.add.reduceat(np.maximum.reduceat(scores, first(c_counts), axis=1), first(q_counts), axis=0)
+                # everything that is as good as the k-th best, ties in the rounded score included
+                rounded = np.round(scores, 6)
+                cut = -np.partition(-rounded, k - 1, axis=1)[:, k - 1 : k] if scores.shape[1] > k else np.full((len(scores), 1), -np.inf)
+                q, c = np.nonzero(rounded >= cut)
+                yield pa.RecordBatch.from_arrays([q_ids.values.take(pa.array(q)), c_ids.values.take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
+
+    # a stated query set against all rows, in blocks
+    pairs = packed(corpus, "chunk_id", CORPUS_BLOCK).crossJoin(F.broadcast(asked) if weight <= SENT_BYTES else asked)
     schema = f"query_id {q_type.simpleString()}, chunk_id {c_type.simpleString()}, score double"
     return ranked(pairs.mapInArrow(multiply, schema), k)
 
 
+def dense(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = True) -> DataFrame:
+    """query_id, chunk_id, score, rank of the exact top k. queries: query_id, embedding; corpus: chunk_id, embedding; rows without one are left out."""
+    one = lambda df, name: df.where("embedding IS NOT NULL").select(name, F.array("embedding").alias("vectors"))
+    return best_of_blocks(one(queries, "query_id"), one(corpus, "chunk_id"), k, cosine)
+
+
 def late_interaction(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, score, rank by summed best matches. queries: query_id, vectors; corpus: chunk_id, vectors (arrays of vectors). Exact: each query meets each chunk."""
-    from poolsmith.functions.vectors import max_sim
-
-    pairs = corpus.select("chunk_id", F.col("vectors").alias("d")).crossJoin(queries.select("query_id", F.col("vectors").alias("q")))
-    return ranked(pairs.select("query_id", "chunk_id", max_sim(F.col("q"), F.col("d")).alias("score")), k)
+    return best_of_blocks(queries, corpus, k, False)
 
 
 def encoded(rows: DataFrame, encode, text: str = "text") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from poolsmith.sources.shared import shared_table
+
 
 def source_targets(tiers: DataFrame, questions_per_chunk: int) -> DataFrame:
     """tiers with ``chunks_to_sample``: queries wanted over questions a chunk, rounded up."""
@@ -48,11 +50,24 @@ def with_floor(targets: DataFrame, group: str, poor: str, donor: str) -> DataFra
     return rows.withColumn("target", F.when(F.col("target") <= F.col("population"), F.col("target")).otherwise(F.raise_error(F.lit("a target exceeds its population")))).drop("_g")
 
 
+def order_of(seed: int, id_col: str) -> Column:
+    """Random, yet the same everywhere: the MD5 of seed and id."""
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(id_col).cast("string")))
+
+
+#: Parts in which a stratum is cut to its size before it is sorted as a whole.
+PARTS = 32
+
+
 def stratified(rows: DataFrame, sizes: DataFrame, strata: list[str], id_col: str, seed: int, count: str = "allocated") -> DataFrame:
-    """As many rows of each stratum as ``sizes`` says, the first by hash of seed and id."""
-    order = Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col)
-    numbered = rows.withColumn("_n", F.row_number().over(order))
-    return numbered.join(sizes.select(*strata, F.col(count).alias("_c")), strata).where(F.col("_n") <= F.col("_c")).drop("_n", "_c")
+    """As many rows of each stratum as ``sizes`` says, the first by hash of seed and id; ids are unique.
+
+    Ids alone are sorted. Each of PARTS parts of a stratum is cut to the stratum's size first, so that no task sorts a whole stratum, however large.
+    """
+    ids = rows.select(*strata, id_col).join(sizes.select(*strata, F.col(count).alias("_c")), strata).where("_c > 0").withColumn("_h", order_of(seed, id_col))
+    first = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*strata, *by).orderBy("_h", id_col))).where(F.col("_n") <= F.col("_c")).drop("_n")
+    chosen = first(first(ids.withColumn("_p", F.pmod(F.xxhash64(id_col), F.lit(PARTS))), "_p").drop("_p")).select(*strata, id_col)
+    return chosen if set(rows.columns) == {*strata, id_col} else rows.join(chosen, [*strata, id_col], "left_semi")
 
 
 def sample_sources(usable: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
@@ -70,8 +85,17 @@ def sampling_report(classified: DataFrame, sampled: DataFrame, targets: DataFram
     return rows.select("source", "tier", "total", "filtered", (F.col("total") - F.col("filtered")).alias("usable"), "target", "sampled", F.greatest(F.lit(0), F.col("target") - F.col("sampled")).alias("shortfall"), "section_count", F.coalesce("filter_reasons", F.expr("cast(map() as map<string, bigint>)")).alias("filter_reasons"))
 
 
+def audit_sample(queries: DataFrame, total: int, tiers: list[str], poor: str, donor: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(sampled queries, tier and target): ``total`` queries dealt over the tiers by population, the poor tier getting at least one from the donor; queries of other tiers are left out. queries: query_id, tier, ..."""
+    known = queries.where(F.col("tier").isin(*tiers))
+    targets = with_floor(hamilton(known.groupBy("tier").agg(F.count("*").alias("population")), "tier", total), "tier", poor, donor)
+    targets = shared_table(targets, "targets")
+    return stratified(known, targets, ["tier"], "query_id", seed, "target"), targets
+
+
 def fraction(rows: DataFrame, id_col: str, share: float, seed: int) -> DataFrame:
-    """ceil(share * n) rows by hash."""
+    """ceil(share * n) rows by hash: ids alone are sorted."""
     import math
 
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(math.ceil(rows.count() * share))
+    chosen = rows.select(id_col).orderBy(order_of(seed, id_col), id_col).limit(math.ceil(rows.count() * share))
+    return rows.join(chosen, id_col, "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from poolsmith.functions import fixed, rubric, vectors
 from poolsmith.functions import text as X
 from poolsmith.operators import joins, metrics, retrieval, sampling
-from poolsmith.plans import pipelines
+from poolsmith.plans import models, pipelines
 from poolsmith.plans.stand_ins import relation, with_relations
 from poolsmith.sources.corpus import nested_rankings, one_a_key, rankings_from_nested
 
@@ -101,16 +101,16 @@ def _(q, c):
  SELECT count(*) AS n, avg(CAST(hit IS NOT NULL AS INT)) AS hr, avg(coalesce(1.0::double / hit, 0)) AS mrr FROM (
   SELECT rel.query_id, min(rank) AS hit FROM rel LEFT JOIN (SELECT * FROM r WHERE rank <= 10) t ON t.query_id = rel.query_id AND t.chunk_id = rel.chunk_id GROUP BY rel.query_id) x""")
 def _(q, c):
-    run = retrieval.bm25(q, c, 10)
-    # a stated query set against all chunks: no key can be joined on for containment
-    found = q.crossJoin(c.select("chunk_id", "text")).where(F.contains("text", F.col("query_text"))).select("query_id", "chunk_id")
+    words = retrieval.tokenised(c)
+    run = retrieval.bm25(q, c, 10, words=words)
+    found = retrieval.containing(q, c, words)
     hit = found.join(run.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.min("rank").alias("hit"))
     return hit.agg(F.count("*").alias("n"), F.avg(F.col("hit").isNotNull().cast("double")).alias("hr"), F.avg(F.coalesce(1.0 / F.col("hit"), F.lit(0.0))).alias("mrr"))
 
 
 @query("a21_corpus_statistics", "chunks", f"WITH w AS (SELECT chunk_id, {TOKENS.format(t='text')} AS w FROM chunks) SELECT term, count(DISTINCT chunk_id) AS df, CAST(count(*) AS BIGINT) AS total FROM (SELECT chunk_id, unnest(w) AS term FROM w) a GROUP BY term")
 def _(c):
-    return retrieval.postings(c).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return retrieval.term_statistics(retrieval.tokenised(c))
 
 
 # --- fusion and pools ---------------------------------------------------------------------------
@@ -161,9 +161,17 @@ def _(r, lab):
     return joins.unjudged(joins.top(r, 10).select("query_id", "chunk_id").distinct(), lab)
 
 
-@query("j3_j8_regrouped", "rankings labels", "SELECT query_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) AS candidates FROM (SELECT DISTINCT query_id, chunk_id FROM rankings r WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.query_id = r.query_id AND l.chunk_id = r.chunk_id)) x GROUP BY query_id")
+@query("j3_j8_regrouped", "rankings labels", """SELECT query_id, concat('query ', CAST(query_id AS VARCHAR)) AS query_text, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) AS candidates FROM (SELECT DISTINCT query_id, chunk_id FROM rankings r WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.query_id = r.query_id AND l.chunk_id = r.chunk_id)) x GROUP BY query_id""")
 def _(r, lab):
-    return joins.regroup(joins.unjudged(r.select("query_id", "chunk_id"), lab)).withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
+    texts = r.select("query_id").distinct().withColumn("query_text", F.concat(F.lit("query "), F.col("query_id").cast("string")))
+    return joins.with_query_text(joins.unjudged(r.select("query_id", "chunk_id"), lab), texts).withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
+
+
+@query("j10_p15_missing_chunks", "queries chunks", """SELECT count(*) AS wanted, count(c.chunk_id) AS found, count(*) - count(c.chunk_id) AS missing FROM (SELECT query_id, seed_chunk_id AS chunk_id FROM queries UNION ALL SELECT query_id, concat('gone', query_id) FROM queries) q LEFT JOIN chunks c ON c.chunk_id = q.chunk_id""")
+def _(q, c):
+    pairs = q.select("query_id", F.col("seed_chunk_id").alias("chunk_id")).unionByName(q.select("query_id", F.concat(F.lit("gone"), "query_id").alias("chunk_id")))
+    found, missing = joins.with_chunk_text(pairs, c)
+    return found.agg(F.count("*").alias("found")).select((F.col("found") + missing).alias("wanted"), "found", F.lit(missing).cast("long").alias("missing"))
 
 
 @query("j5_marked_pool", "rankings labels", "SELECT r.query_id, r.retriever, r.chunk_id, l.query_id IS NOT NULL AS judged FROM rankings r LEFT JOIN labels l ON l.query_id = r.query_id AND l.chunk_id = r.chunk_id WHERE rank <= 5")
@@ -181,9 +189,9 @@ def _(lab, r):
     return joins.restrict(lab, r.where("rank > 15")).select("query_id", "chunk_id", "score")
 
 
-@query("j1_ordered_lookup", "queries", "SELECT query_id, query_text, CAST(row_number() OVER (ORDER BY query_id DESC) AS INT) AS pos FROM queries")
+@query("j1_w7_ordered_lookup", "queries", "SELECT query_id, query_text, CAST(row_number() OVER (ORDER BY query_id DESC) AS INT) AS pos FROM queries")
 def _(q):
-    ids = q.select("query_id", F.row_number().over(Window.orderBy(F.desc("query_id"))).alias("pos"))
+    ids = joins.numbered(q.select("query_id"), "pos", F.desc("query_id"))
     return joins.ordered_lookup(ids, q.select("query_id", "query_text"), "query_id")
 
 
@@ -208,7 +216,8 @@ def _(lab):
 
 @query("j12_referenced_chunks", "chunks queries", "SELECT chunk_id, source, page FROM chunks WHERE chunk_id IN (SELECT seed_chunk_id FROM queries)")
 def _(c, q):
-    return joins.referenced(q.select(F.col("seed_chunk_id").alias("chunk_id")), c, complete=False).select("chunk_id", "source", "page")
+    known = joins.restrict(q.select(F.col("seed_chunk_id").alias("query_id")), c.select(F.col("chunk_id").alias("query_id"))).withColumnRenamed("query_id", "chunk_id")
+    return joins.referenced(known, c).select("chunk_id", "source", "page")
 
 
 @query("j19_missing_sources", "chunks", "SELECT source FROM (SELECT concat('src', CAST(range AS VARCHAR)) AS source FROM range(40)) x WHERE source NOT IN (SELECT source FROM chunks WHERE source IS NOT NULL)")
@@ -339,11 +348,17 @@ def _(r, lab):
     return rounded(metrics.implied_precision(r, lab, 3))
 
 
-@query("m15_embedding_sanity", "vectors", "SELECT label, round(min(c), 4) AS low, round(max(c), 4) AS high, CAST(sum(CAST(c > 0.5 AS INT)) AS BIGINT) AS alike FROM (SELECT a.label, list_dot_product(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double)) / sqrt(list_dot_product(list_transform(a.embedding, lambda x: x::double), list_transform(a.embedding, lambda x: x::double))) / sqrt(list_dot_product(list_transform(b.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))) AS c FROM vectors a JOIN vectors b ON b.chunk_id = a.chunk_id + 1) x GROUP BY label")
+COSINE = "list_dot_product(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double)) / sqrt(list_dot_product(list_transform(a.embedding, lambda x: x::double), list_transform(a.embedding, lambda x: x::double))) / sqrt(list_dot_product(list_transform(b.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double)))"
+
+
+@query("m15_sanity_gate", "vectors", f"""WITH c AS (SELECT CASE WHEN a.label = b.label THEN 'same' ELSE 'unrelated' END AS kind, {COSINE} AS c FROM vectors a JOIN vectors b ON b.chunk_id = a.chunk_id + 1),
+ m AS (SELECT round(min(c) FILTER (kind = 'same'), 6) AS same_min, round(max(c) FILTER (kind = 'unrelated'), 6) AS unrelated_max FROM c)
+ SELECT *, CASE WHEN same_min > 0.5 AND unrelated_max < 0.3 THEN 'pass' ELSE 'fail' END AS verdict FROM m""")
 def _(v):
-    nxt = v.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("embedding").alias("e"))
-    c = v.join(nxt, "chunk_id").withColumn("c", vectors.cosine(F.col("embedding"), F.col("e")))
-    return c.groupBy("label").agg(F.round(F.min("c"), 4).alias("low"), F.round(F.max("c"), 4).alias("high"), F.sum((F.col("c") > 0.5).cast("long")).alias("alike"))
+    """Pairs of neighbouring ids: of one label they should be near, of two far."""
+    nxt = v.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("embedding").alias("e"), F.col("label").alias("l"))
+    pairs = v.join(nxt, "chunk_id").select(F.when(F.col("label") == F.col("l"), "same").otherwise("unrelated").alias("kind"), vectors.cosine(F.col("embedding"), F.col("e")).alias("cosine"))
+    return rounded(metrics.sanity_gate(pairs), 6)
 
 
 @query("m16_paired_gap", "rankings labels", COVERAGE + "SELECT a.retriever, round(a.m, 9) AS a, round(b.m, 9) AS b, round(a.m - b.m, 9) AS gap, abs(a.m - b.m) < 0.03 AS close FROM (SELECT retriever, avg(coverage) AS m FROM c GROUP BY retriever) a JOIN (SELECT retriever, avg(coverage) AS m FROM c WHERE query_id % 2 = 0 GROUP BY retriever) b ON a.retriever = b.retriever")
@@ -358,10 +373,15 @@ def _(a, b):
     return rounded(metrics.agreement(a, b, [1, 2]))
 
 
-@query("a9_a10_pool_sizes", "rankings", "SELECT count(*) AS n, round(avg(c), 9) AS mean, min(c)::double AS min, max(c)::double AS max FROM (SELECT query_id, count(DISTINCT chunk_id) AS c FROM rankings WHERE rank <= 10 GROUP BY query_id) x")
-def _(r):
-    pool = joins.top(r, 10).select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("c"))
-    return rounded(metrics.stats(pool, "c"), only=["mean"])
+@query("a9_a10_pool_sizes", "rankings labels", "SELECT (SELECT count(DISTINCT query_id) FROM labels) AS queries, round(sum(c) / (SELECT count(DISTINCT query_id) FROM labels)::double, 9) AS mean, min(c)::double AS min, max(c)::double AS max FROM (SELECT query_id, count(DISTINCT chunk_id) AS c FROM rankings WHERE rank <= 10 AND query_id % 3 > 0 GROUP BY query_id) x")
+def _(r, lab):
+    return rounded(metrics.size_stats(joins.top(r, 10).where("query_id % 3 > 0"), lab), only=["mean"])
+
+
+@query("a14_three_label_views", "rankings labels labels_v1", """WITH j AS (SELECT a.score AS a, b.score AS b FROM rankings r LEFT JOIN labels a ON r.query_id = a.query_id AND r.chunk_id = a.chunk_id LEFT JOIN labels_v1 b ON r.query_id = b.query_id AND r.chunk_id = b.chunk_id WHERE rank <= 3)
+ SELECT 'first' AS view, a AS score, count(*) AS n FROM j WHERE a IS NOT NULL GROUP BY a UNION ALL SELECT 'second', b, count(*) FROM j WHERE b IS NOT NULL GROUP BY b UNION ALL SELECT 'union', coalesce(b, a), count(*) FROM j WHERE coalesce(b, a) IS NOT NULL GROUP BY coalesce(b, a)""")
+def _(r, a, b):
+    return metrics.score_views(r, a, b, 3)
 
 
 @query("a9_surfaced_by", "rankings", "SELECT query_id, chunk_id, string_agg(DISTINCT retriever, ', ' ORDER BY retriever) AS surfaced_by FROM rankings WHERE rank <= 10 GROUP BY query_id, chunk_id")
@@ -387,10 +407,13 @@ def _(lab):
     return lab.select("query_id", "chunk_id", rubric.grade_v1(*d)["score"].alias("score"), F.size(rubric.problems(*d, F.col("score"))).alias("n_problems"))
 
 
-@query("g4_tolerant_int", "labels", "SELECT DISTINCT said, value FROM (SELECT CASE d4 WHEN 0 THEN concat('D2=', CAST(score AS VARCHAR)) WHEN 1 THEN concat('score=', CAST(score AS VARCHAR), '.7') ELSE 'none' END AS said, CASE d4 WHEN 0 THEN score WHEN 1 THEN score ELSE 0 END AS value FROM labels) x")
+@query("g4_tolerant_int", "labels", """WITH said AS (SELECT DISTINCT d4, score FROM labels), t AS (SELECT score, unnest(['D2=', 'score=', 'score: ', 'score=D3=', 'D2=D2=', '1score=', ' ', '-', 'x', 'true', '1e', '.']) AS p, unnest([score, score, score, score, 0, 0, score, -score, 0, 0, CASE score WHEN 0 THEN 1 WHEN 1 THEN 10 WHEN 2 THEN 100 WHEN 3 THEN 1000 WHEN 4 THEN 10000 WHEN 5 THEN 100000 ELSE 1000000 END, 0]) AS value FROM said)
+ SELECT DISTINCT concat(p, CAST(score AS VARCHAR)) AS said, CAST(value AS INT) AS value FROM t UNION SELECT DISTINCT concat('D4=', CAST(score AS VARCHAR), '.7'), score FROM labels""")
 def _(lab):
-    said = F.when(F.col("d4") == 0, F.concat(F.lit("D2="), F.col("score").cast("string"))).when(F.col("d4") == 1, F.concat(F.lit("score="), F.col("score").cast("string"), F.lit(".7"))).otherwise("none")
-    return lab.select(said.alias("said")).distinct().select("said", rubric.tolerant_int(F.col("said")).alias("value"))
+    prefix = F.explode(F.array(*map(F.lit, ["D2=", "score=", "score: ", "score=D3=", "D2=D2=", "1score=", " ", "-", "x", "true", "1e", "."])))
+    score = F.col("score").cast("string")
+    said = lab.select("score", prefix.alias("p")).select(F.concat("p", score).alias("said")).unionByName(lab.select(F.concat(F.lit("D4="), score, F.lit(".7")).alias("said"))).distinct()
+    return said.select("said", rubric.tolerant_int(F.col("said")).alias("value"))
 
 
 @query("g7_accepted_rewrites", "queries", "SELECT query_id, CASE WHEN CAST(substr(query_id, 2) AS INT) % 2 = 0 THEN concat(query_text, '?') END AS rewrite FROM queries")
@@ -408,11 +431,11 @@ def _(c):
     return c.select("chunk_id", F.size(X.tokens(t)).alias("n_tokens"), X.word_count(t).alias("n_words"), X.content_id(t).alias("content_id"), X.token_estimate(t).cast("long").alias("tokens_estimate"))
 
 
-@query("p1_breadcrumbs", "chunks", r"SELECT chunk_id, breadcrumb, sha256(regexp_replace(regexp_replace(text, '^([ \\t]*\\n)+', ''), '(\\n[ \\t]*)+$', '')) AS text_sha256 FROM chunks WHERE NOT starts_with(ltrim(text), '>')")
+@query("p1_breadcrumbs", "chunks", r"""SELECT chunk_id, CASE WHEN pos % 4 = 0 THEN '' ELSE breadcrumb END AS breadcrumb, sha256(regexp_replace(regexp_replace(concat('- ', text), '^([ \t]*\n)+', ''), '(\n[ \t]*)+$', '')) AS text_sha256 FROM chunks""".replace("\\\\", "\\"))
 def _(c):
-    kept = c.where(~F.startswith(F.ltrim("text"), F.lit(">")))
-    body = F.concat(F.lit("\n> "), F.replace("breadcrumb", F.lit(" > "), F.lit(" >\n> ")), F.lit("\n\n"), "text", F.lit("\n\n"))
-    return kept.select("chunk_id", X.split_breadcrumb(body).alias("s")).select("chunk_id", "s.breadcrumb", F.sha2("s.text", 256).alias("text_sha256"))
+    head = F.when(F.col("pos") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("\n> "), F.replace("breadcrumb", F.lit(" > "), F.lit(" >\n> ")), F.lit("\n")))
+    body = F.concat(head, F.lit("\n- "), "text", F.lit("\n\n"))
+    return c.select("chunk_id", X.split_breadcrumb(body).alias("s")).select("chunk_id", "s.breadcrumb", F.sha2("s.text", 256).alias("text_sha256"))
 
 
 @query("p3_f9_sections", "chunks", "SELECT chunk_id, trim(split_part(breadcrumb, '>', 1)) AS section, split_part(breadcrumb, ' > ', 1) AS topic, concat(CAST(pos AS VARCHAR), '::', chunk_id) AS pair, printf('q_%05d', pos) AS query_id FROM chunks")
@@ -442,7 +465,7 @@ def _reason_sql() -> str:
         (r"len(tables) >= 4 AND 2 * len(list_filter(tables, lambda x: regexp_replace(x, '[|\s-]', '', 'g') = '')) > len(tables)", "'empty_form_table'"),
     ]
     when = " ".join(f"WHEN {test} THEN {reason}" for test, reason in cases)
-    return rf"""WITH cut AS (SELECT *, coalesce(nullif(trim(split_part(breadcrumb, '>', 1)), ''), '{fixed.ROOT_SECTION}') AS section,
+    return rf"""cut AS (SELECT *, coalesce(nullif(trim(split_part(breadcrumb, '>', 1)), ''), '{fixed.ROOT_SECTION}') AS section,
   list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS rows FROM noted),
  ready AS (SELECT *, array_to_string(rows[1:5], chr(10)) AS head, list_filter(rows, lambda x: starts_with(x, '|')) AS tables, coalesce({first}, '') AS first FROM cut),
  judged AS (SELECT *, CASE {when} END AS reason FROM ready)
@@ -455,7 +478,7 @@ NOTED = """SELECT chunk_id, source, tier, pos, CASE WHEN pos % 17 = 0 THEN conca
   WHEN 9 THEN 'Case number : 5' WHEN 10 THEN 'They invite all of the learners' WHEN 11 THEN 'Write it on the blackboard' WHEN 12 THEN 'role/play' WHEN 13 THEN 'Questions that may be asked' WHEN 14 THEN concat('# B', chr(10), '**Bag** one', chr(10), '**Bed** two')
   WHEN 15 THEN concat('| a |', chr(10), '|---|', chr(10), '| |', chr(10), '|  |', chr(10), '| - |') WHEN 16 THEN '# Preface' WHEN 17 THEN '[away](x) ![gone](y)' WHEN 18 THEN 'Planning follow-up' ELSE '' END, chr(10), text) AS text
  FROM (SELECT *, split_part(breadcrumb, ' > ', 1) AS lang_ FROM chunks) c"""
-REASON_SQL = f"WITH noted AS ({NOTED}), " + _reason_sql()[5:]
+REASON_SQL = f"WITH noted AS ({NOTED}), " + _reason_sql()
 
 
 def noted(c: DataFrame) -> DataFrame:
@@ -513,14 +536,28 @@ def _(c):
     return sampling.largest_remainder(sizes, "source", "target", "tier").drop("target")
 
 
-@query("l3_l4_stratified_counts", "chunks", SIZES + "SELECT tier, source, CAST(CASE WHEN total <= 30 THEN size ELSE low + CAST(n <= rest AS INT) END AS BIGINT) AS sampled FROM d WHERE CASE WHEN total <= 30 THEN size ELSE low + CAST(n <= rest AS INT) END > 0")
+@query("l3_l4_stratified_sample", "chunks", SIZES + ", a AS (SELECT tier, source, CASE WHEN total <= 30 THEN size ELSE low + CAST(n <= rest AS INT) END AS allocated FROM d), o AS (SELECT tier, source, chunk_id, row_number() OVER (PARTITION BY tier, source ORDER BY md5('42:' || chunk_id), chunk_id) AS o FROM chunks) SELECT o.tier, o.source, chunk_id FROM o JOIN a ON o.tier = a.tier AND o.source = a.source WHERE o.o <= allocated")
 def _(c):
     sizes = c.groupBy("tier", "source").agg(F.count("*").alias("size")).withColumn("target", F.lit(30))
-    sample = sampling.stratified(c, sampling.largest_remainder(sizes, "source", "target", "tier"), ["tier", "source"], "chunk_id", SEED)
-    return sample.groupBy("tier", "source").agg(F.countDistinct("chunk_id").alias("sampled"))
+    ids = c.select("tier", "source", "chunk_id")
+    return sampling.stratified(ids, sampling.largest_remainder(sizes, "source", "target", "tier"), ["tier", "source"], "chunk_id", SEED)
+
+
+HAMILTON = "WITH p AS (SELECT tier, count(*) AS population FROM chunks GROUP BY tier), r AS (SELECT *, 13.0::double * population / sum(population) OVER () AS raw FROM p), t AS (SELECT *, floor(raw) + CAST(row_number() OVER (ORDER BY raw - floor(raw) DESC, population DESC, tier DESC) <= 13 - sum(floor(raw)) OVER () AS INT) AS target FROM r), g AS (SELECT *, max(CAST(tier = 'low_moderate' AND target = 0 AS INT)) OVER () AS g FROM t), h AS (SELECT tier, population, CAST(target + CASE tier WHEN 'low_moderate' THEN g WHEN 'moderate' THEN -g ELSE 0 END AS BIGINT) AS target FROM g) "
+
+
+@query("l7_a17_a18_audit_sample", "chunks", HAMILTON + "SELECT o.tier, chunk_id AS query_id FROM (SELECT tier, chunk_id, row_number() OVER (PARTITION BY tier ORDER BY md5('42:' || chunk_id), chunk_id) AS o FROM chunks) o JOIN h ON h.tier = o.tier WHERE o <= target")
+def _(c):
+    asked = c.select("tier", F.col("chunk_id").alias("query_id"))
+    return sampling.audit_sample(asked, 13, ["very_high", "high", "moderate_high", "moderate", "low_moderate"], "low_moderate", "moderate", SEED)[0]
+
+
+@query("p19_seeded_shuffle", "chunks", "SELECT chunk_id FROM chunks ORDER BY md5('42:' || chunk_id), chunk_id LIMIT 25")
+def _(c):
+    return joins.shuffled(c.select("chunk_id"), "chunk_id", SEED, 25)
 
 
-@query("l5_l6_hamilton", "chunks", "WITH p AS (SELECT tier, count(*) AS population FROM chunks GROUP BY tier), r AS (SELECT *, 13.0::double * population / sum(population) OVER () AS raw FROM p), t AS (SELECT *, floor(raw) + CAST(row_number() OVER (ORDER BY raw - floor(raw) DESC, population DESC, tier DESC) <= 13 - sum(floor(raw)) OVER () AS INT) AS target FROM r), g AS (SELECT *, max(CAST(tier = 'low_moderate' AND target = 0 AS INT)) OVER () AS g FROM t) SELECT tier, population, CAST(target + CASE tier WHEN 'low_moderate' THEN g WHEN 'moderate' THEN -g ELSE 0 END AS BIGINT) AS target FROM g")
+@query("l5_l6_hamilton", "chunks", HAMILTON + "SELECT * FROM h")
 def _(c):
     return sampling.with_floor(sampling.hamilton(c.groupBy("tier").agg(F.count("*").alias("population")), "tier", 13), "tier", "low_moderate", "moderate")
 
@@ -531,41 +568,89 @@ def _(c):
     return sampling.source_targets(t, 7).select("tier", "source", "chunks_to_sample")
 
 
-@query("l8_fraction_count", "chunks", "SELECT CAST(ceil(count(*) * 0.15) AS BIGINT) AS n FROM chunks")
+@query("l8_fraction", "chunks", "SELECT chunk_id FROM chunks ORDER BY md5('42:' || chunk_id), chunk_id LIMIT (SELECT CAST(ceil(count(*) * 0.15) AS BIGINT) FROM chunks)")
 def _(c):
-    return sampling.fraction(c, "chunk_id", 0.15, SEED).agg(F.count("*").alias("n"))
+    return sampling.fraction(c.select("chunk_id"), "chunk_id", 0.15, SEED)
 
 
 def _tiers(c: DataFrame) -> DataFrame:
     return c.groupBy("source", "tier").agg(F.lit(5).alias("queries_per_source"), F.min("pos").cast("int").alias("ord"))
 
 
-@query("plan_sampled_corpus", "chunks")
+SAMPLED_SQL = """WITH noted AS (SELECT * FROM chunks), """ + _reason_sql() + """, sizes AS (SELECT source, section, count(*) AS size FROM judged WHERE reason IS NULL GROUP BY source, section),
+ raw AS (SELECT *, 5.0::double * size / sum(size) OVER (PARTITION BY source) AS raw, sum(size) OVER (PARTITION BY source) AS total FROM sizes), r AS (SELECT *, floor(raw) AS low FROM raw),
+ a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CAST(low < size AS INT) DESC, raw - low DESC, section) AS n, 5 - sum(low) OVER (PARTITION BY source) AS rest FROM r),
+ b AS (SELECT source, section, CASE WHEN total <= 5 THEN size ELSE low + CAST(n <= rest AS INT) END AS allocated FROM a),
+ o AS (SELECT chunk_id, source, tier, section, row_number() OVER (PARTITION BY source, section ORDER BY md5('42:' || chunk_id), chunk_id) AS o FROM judged WHERE reason IS NULL),
+ chosen AS (SELECT chunk_id, o.source, tier, o.section FROM o JOIN b ON o.source = b.source AND o.section = b.section WHERE o <= allocated)
+"""
+
+
+@query("plan_sampled_corpus", "chunks", SAMPLED_SQL + "SELECT * FROM chosen")
 def _(c):
     return pipelines.sampled_corpus(c.drop("tier"), _tiers(c), 1, SEED)[0].select("chunk_id", "source", "tier", "section")
 
 
-@query("plan_sampling_report", "chunks")
+@query("plan_sampling_report", "chunks", SAMPLED_SQL + """, f AS (SELECT source, reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY source, reason), g AS (SELECT source, '{' || string_agg(concat('"', reason, '":', n), ',' ORDER BY reason) || '}' AS reasons FROM f GROUP BY source),
+ t AS (SELECT source, any_value(tier) AS tier, count(*) AS total, count(reason) AS filtered, count(DISTINCT CASE WHEN reason IS NULL THEN section END) AS section_count FROM judged GROUP BY source), s AS (SELECT source, count(*) AS sampled FROM chosen GROUP BY source)
+ SELECT t.source, tier, total, filtered, total - filtered AS usable, 5 AS target, coalesce(sampled, 0) AS sampled, greatest(0, 5 - coalesce(sampled, 0)) AS shortfall, section_count, coalesce(reasons, '{}') AS filter_reasons FROM t LEFT JOIN g ON t.source = g.source LEFT JOIN s ON t.source = s.source""")
 def _(c):
     report = pipelines.sampled_corpus(c.drop("tier"), _tiers(c), 1, SEED)[1]
     return report.withColumn("filter_reasons", F.to_json("filter_reasons"))
 
 
-@query("u7_assembled_queries", "chunks")
+@query("u2_p9_decisions", "chunks", """SELECT chunk_id, CASE WHEN length(t) >= 1000 THEN concat('what of ', split_part(t, ' ', 1)) END AS seed_query, 'length' AS reason, '' AS _error, 1 AS _attempts FROM (SELECT chunk_id, trim(regexp_replace(concat('about ', text), '[^ -~]+', ' ', 'g')) AS t FROM chunks) x""")
+def _(c):
+    said = c.withColumn("text", F.trim(F.regexp_replace(F.concat(F.lit("about "), "text"), "[^ -~]+", " ")))
+    return models.decided(said, models.stub_filter, "local", "stub").select("chunk_id", "seed_query", "reason", "_error", "_attempts")
+
+
+KINDS = "[" + ", ".join(f"'{k}'" for k in fixed.REWRITE_TYPES) + "]"
+
+
+@query("u3_u7_assembled_queries", "chunks", f"""WITH base AS (SELECT concat('what of ', source) AS query_text, chunk_id AS seed_chunk_id, source, tier, pos, split_part(breadcrumb, ' > ', 1) AS topic FROM chunks),
+ o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY pos) AS o, count(*) OVER (PARTITION BY topic) AS n FROM base),
+ synth AS (SELECT concat('synthesis: ', topic) AS query_text, min_by(seed_chunk_id, pos) AS seed_chunk_id, min_by(source, pos) AS source, min_by(tier, pos) AS tier, topic, string_agg(seed_chunk_id, ',' ORDER BY pos) AS ids FROM o WHERE o <= 6 AND n >= 3 GROUP BY topic),
+ chosen AS (SELECT *, {KINDS}[1 + CAST(concat('0x', substr(md5('43:' || seed_chunk_id), 1, 8)) AS BIGINT) % 8] AS kind FROM base ORDER BY md5('42:' || seed_chunk_id), seed_chunk_id LIMIT (SELECT CAST(ceil(count(*) * 0.15) AS BIGINT) FROM base)),
+ every AS (SELECT 0 AS k, pos, NULL AS topic, query_text, seed_chunk_id, source, tier, 'per_chunk' AS query_type, NULL AS adversarial_type, NULL AS seed_chunk_ids FROM base UNION ALL SELECT 1, NULL, topic, query_text, seed_chunk_id, source, tier, 'synthesis', NULL, ids FROM synth
+  UNION ALL SELECT 2, pos, NULL, concat(kind, ': ', query_text), seed_chunk_id, source, tier, 'adversarial', kind, NULL FROM chosen)
+ SELECT printf('q_%05d', row_number() OVER (ORDER BY k, pos, topic)) AS query_id, query_text, seed_chunk_id, source, tier, query_type, adversarial_type, seed_chunk_ids FROM every""")
 def _(c):
     kept = c.withColumn("section", X.section(F.col("breadcrumb"))).withColumn("seed_query", F.concat(F.lit("what of "), "source"))
-    return pipelines.assembled_queries(kept).withColumn("seed_chunk_ids", F.array_join("seed_chunk_ids", ","))
+    return pipelines.assembled_queries(kept, models.stub_synthesis, models.stub_rewrite).withColumn("seed_chunk_ids", F.array_join("seed_chunk_ids", ","))
 
 
-@query("u1_judged_pairs", "queries chunks")
+WORDS = "list_distinct(list_filter(string_split_regex(lower({t}), '[ \\n\\t\\r\\f\\v]+'), lambda x: x <> ''))"
+JUDGED_SQL = BM25_SQL + f""", pool AS (SELECT query_id, chunk_id FROM r WHERE rank <= 3 UNION SELECT query_id, seed_chunk_id FROM queries),
+ shared AS (SELECT p.query_id, p.chunk_id, len(list_intersect({WORDS.format(t='q.query_text')}, {WORDS.format(t='c.text')})) AS n FROM pool p JOIN queries q ON q.query_id = p.query_id JOIN chunks c ON c.chunk_id = p.chunk_id)
+"""
+
+
+@query("u1_t10_judged_pairs", "queries chunks", JUDGED_SQL + "SELECT query_id, chunk_id, n > 0 AS d1, CAST(least(2, n) AS INT) AS d2, CAST(least(2, n // 2) AS INT) AS d3, CAST(least(2, n // 3) AS INT) AS d4, '' AS _error, 1 AS _attempts, 'stub' AS model FROM shared")
+def _(q, c):
+    pool = pipelines.pooled(q, {"bm25": retrieval.bm25(q, c, 3, fill=False)}, 3)
+    pairs, _ = pipelines.to_judge(pool, pool.where("false"), q, c)
+    return models.judge(pairs, models.stub_judge, {"model": "stub"})
+
+
+@query("u1_p11_judged_by_first_rubric", "queries chunks", JUDGED_SQL + "SELECT query_id, chunk_id, n > 0 AS d1, n >= 1 AS d2, n >= 2 AS d3, CAST(n >= 1 AS INT) + CAST(n >= 2 AS INT) AS score FROM shared")
 def _(q, c):
-    run = retrieval.bm25(q, c, 3, fill=False)
-    pool = pipelines.pooled(q, c, {"bm25": run}, 3)
-    none = run.where("false").select("query_id", "chunk_id")
-    return pipelines.judge(pipelines.to_judge(pool, none, q, c), pipelines.stub_judge, {"model": "stub"})
+    pool = pipelines.pooled(q, {"bm25": retrieval.bm25(q, c, 3, fill=False)}, 3)
+    pairs, _ = pipelines.to_judge(pool, pool.where("false"), q, c)
+    found = models.judge(pairs, models.stub_judge, models.RUBRICS["v1_boolean"].contract("local", "stub"), rubric_name="v1_boolean")
+    return found.where(models.successful("v1_boolean")).select("query_id", "chunk_id", "d1", "d2", "d3", "score")
+
+
+@query("f22_messages", "chunks", """SELECT chunk_id, sha256(concat('## Query', chr(10), 'why?', chr(10), chr(10), '## Guideline chunk', chr(10), CASE WHEN pos % 5 = 0 THEN '' ELSE concat('Source: ', source, ' | ') END, 'Page: ', CAST(page AS VARCHAR), chr(10), '---', chr(10), 'of ', source, chr(10), '---')) AS judged,
+ sha256(concat(CASE WHEN pos % 5 = 0 THEN '' ELSE concat('Source: ', source, chr(10)) END, 'Page: ', CAST(page AS VARCHAR), chr(10), 'Breadcrumb: ', breadcrumb, chr(10), chr(10), 'Chunk:', chr(10), 'of ', source)) AS filtered FROM chunks""")
+def _(c):
+    source, text = F.when(F.col("pos") % 5 == 0, F.lit(" ")).otherwise(F.col("source")), F.concat(F.lit(" of "), "source", F.lit("\n"))
+    return c.select("chunk_id", F.sha2(models.judge_message(F.lit("why?"), source, F.col("page"), text), 256).alias("judged"), F.sha2(models.filter_message(source, F.col("page"), F.col("breadcrumb"), text), 256).alias("filtered"))
 
 
-@query("t11_token_batches", "chunks")
+@query("t11_token_batches", "chunks", """WITH RECURSIVE t AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY pos) AS rn, CAST(greatest(1, floor(length(text) / 4.0)) AS BIGINT) AS tokens FROM chunks),
+ b AS (SELECT source, rn, tokens, tokens AS used, 1 AS n, 0 AS batch FROM t WHERE rn = 1 UNION ALL SELECT t.source, t.rn, t.tokens, CASE WHEN b.used + t.tokens > 20000 OR b.n = 40 THEN t.tokens ELSE b.used + t.tokens END, CASE WHEN b.used + t.tokens > 20000 OR b.n = 40 THEN 1 ELSE b.n + 1 END, b.batch + CAST(b.used + t.tokens > 20000 OR b.n = 40 AS INT) FROM b JOIN t ON t.source IS NOT DISTINCT FROM b.source AND t.rn = b.rn + 1)
+ SELECT source, batch, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM b GROUP BY source, batch""")
 def _(c):
     return retrieval.token_batches(c.select("chunk_id", "source", "pos", "text"), "source", "pos", 20_000, 40).groupBy("source", "batch").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 

@@ -50,6 +50,6 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_relations(names: str, sql: str) -> str:
     """The SQL with the named relations as common tables before it."""
-    extra = "" if not sql.lstrip().upper().startswith("WITH ") else ", " + sql.lstrip()[5:]
-    head = "WITH " + ",\n".join(f"{n} AS ({RELATIONS[n]})" for n in names.split())
-    return head + (extra or "\n" + sql)
+    word = next((w for w in ("WITH RECURSIVE ", "WITH ") if sql.lstrip().upper().startswith(w)), None)
+    extra = ", " + sql.lstrip()[len(word) :] if word else "\n" + sql
+    return (word or "WITH ") + ",\n".join(f"{n} AS ({RELATIONS[n]})" for n in names.split()) + extra

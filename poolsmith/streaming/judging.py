@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from poolsmith.sources.sinks import append_new
+from poolsmith.sources.sinks import append_new, table_at
 
 PAIRS = "query_id string, chunk_id string, query_text string, text string"
 
@@ -22,13 +22,9 @@ def judge_stream(pairs: DataFrame, judge: Callable[[DataFrame], DataFrame], labe
     """Run over what has arrived and stop. A batch that is run again finds its labels there: nothing is judged or written twice."""
 
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        fresh = df.dropDuplicates([*keys])
-        try:
-            fresh = fresh.join(spark.read.parquet(labels).select(*keys), [*keys], "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        fresh, there = df.dropDuplicates([*keys]), table_at(df.sparkSession, labels)
+        if there is not None:
+            fresh = fresh.join(there.select(*keys), [*keys], "left_anti")
         append_new(judge(fresh), labels, [*keys])
 
     return pairs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -88,7 +88,10 @@ def test_rubrics(spark):
     v1 = spark.createDataFrame([(True, False, True), (False, True, True)], "a boolean, b boolean, c boolean")
     assert [tuple(r[0]) for r in v1.select(rubric.grade_v1(*map(F.col, "abc"))).collect()] == [(True, True, True, 2), (False, False, False, 0)]
     said = spark.createDataFrame([("D2=2",), ("score=1.7",), (None,), ("true",), ("x",), (" 3 ",), ("-1",)], "s string")
-    assert [r[0] for r in said.select(rubric.tolerant_int(F.col("s"))).collect()] == [2, 1, 0, 1, 0, 3, -1]
+    assert [r[0] for r in said.select(rubric.tolerant_int(F.col("s"))).collect()] == [2, 1, 0, 0, 0, 3, -1]
+    odd = spark.createDataFrame([("D2=D2=3",), ("1score=",), ("score=D3=2",), ("2score=",), (" \n+2 ",), ("2e0",)], "s string")
+    assert [r[0] for r in odd.select(rubric.tolerant_int(F.col("s"))).collect()] == [0, 0, 2, 0, 2, 2]
+    assert [r[0] for r in spark.createDataFrame([(True,), (False,), (None,)], "b boolean").select(rubric.boolean_int(F.col("b"))).collect()] == [1, 0, 0]
 
 
 def test_replies(spark):
@@ -173,3 +176,117 @@ def test_resume(spark):
     want = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "chunk_id string")
     todo, stale = joins.remaining(want, done, ["chunk_id"], joins.current_contract("v", "p", "b", "m"))
     assert sorted(r[0] for r in todo.collect()) == ["b", "c", "d"] and stale.count() == 2
+
+
+def test_attempts():
+    from poolsmith.plans import models
+
+    waits, calls = [], []
+
+    def fails(times, error):
+        calls.clear(), waits.clear()
+
+        def call():
+            calls.append(1)
+            if len(calls) <= times:
+                raise error
+            return "fine"
+
+        return call
+
+    assert models.attempt(fails(2, OSError("busy")), sleep=waits.append) == ("fine", "", 3) and waits == [1.0, 2.0]
+    assert models.attempt(fails(3, OSError("busy")), sleep=waits.append) == (None, "OSError: busy", 3)
+    assert models.attempt(fails(1, KeyError("d1")), sleep=waits.append)[2] == 1 and waits == []
+    assert models.encoded_with_retry(lambda t: fails(0, None)(), sleep=waits.append)(["x"]) == "fine"
+    with pytest.raises(RuntimeError, match="down"):
+        models.encoded_with_retry(lambda t: (_ for _ in ()).throw(OSError("down")), sleep=waits.append)(["x"])
+    assert waits == [2.0, 4.0, 8.0, 16.0]
+
+
+def test_judging_by_both_rubrics(spark):
+    from poolsmith.plans import models
+
+    pairs = spark.createDataFrame([("q", "a", "one two", "one two three"), ("q", "b", "one", "none of it"), ("q", "c", None, "x")], "query_id string, chunk_id string, query_text string, text string")
+    model = lambda q, t: '<think>so</think> {"d1": true, "d2": 0, "d3": 1, "d4": 2, "reasoning": "r"} ok' if t.startswith("one") else "no"
+    v1 = {r["chunk_id"]: r for r in models.judge(pairs, model, models.RUBRICS["v1_boolean"].contract("local", "m"), rubric_name="v1_boolean").collect()}
+    assert (v1["a"]["d2"], v1["a"]["score"], v1["a"]["reasoning"]) == (True, 2, "r") and v1["b"]["score"] == -1 and v1["b"]["_error"] and v1["b"]["_attempts"] == 1
+    v2 = {r["chunk_id"]: r for r in models.judge(pairs, model, {}).collect()}
+    assert (v2["a"]["d1"], v2["a"]["d4"], v2["a"]["_error"]) == (True, 2, "") and v2["b"]["d4"] == 0 and "ValueError" in v2["b"]["_error"]
+    versions = {n: (r.schema_version, r.prompt_hash) for n, r in models.RUBRICS.items()}
+    assert versions["v1_boolean"][0] == v1["a"]["schema_version"] != versions["v2_graded"][0] and versions["v1_boolean"][1] != versions["v2_graded"][1]
+
+
+def test_decisions(spark):
+    from poolsmith.plans import models
+
+    chunks = spark.createDataFrame([("a", "s", 1, "", "keep me"), ("b", "s", None, "A > B", "drop"), ("c", "", 2, None, "fails")], "chunk_id string, source string, page int, breadcrumb string, text string")
+
+    def model(message):
+        if "fails" in message:
+            raise ValueError("bad")
+        return {"query": "why?" if message == "Source: s\nPage: 1\n\nChunk:\nkeep me" else " ", "reason": message}
+
+    found = models.decided(chunks, model, "local", "m")
+    by = {r["chunk_id"]: r for r in found.collect()}
+    assert by["a"]["seed_query"] == "why?" and by["b"]["seed_query"] is None and by["b"]["reason"] == "Source: s\nBreadcrumb: A > B\n\nChunk:\ndrop" and by["c"]["_error"] == "ValueError: bad"
+    assert [r["seed_query"] for r in models.kept(chunks, found).collect()] == ["why?"]
+
+
+def test_synthesis_seed_falls_back(spark):
+    from poolsmith.plans import pipelines
+
+    kept = spark.createDataFrame([(f"c{i}", "s", "t", i, "T > x", "", "text") for i in range(4)], "chunk_id string, source string, tier string, pos int, breadcrumb string, section string, text string")
+    found = lambda ids: pipelines.synthesised(pipelines.topics(kept), lambda m: {"query_text": "q", "seed_chunk_ids": ids}).collect()
+    assert found(["c2", "c1"])[0]["seed_chunk_id"] == "c2" and found(["gone"])[0]["seed_chunk_id"] == "c0" and found([])[0]["seed_chunk_id"] == "c0"
+    assert pipelines.synthesised(pipelines.topics(kept), lambda m: "nothing").collect() == []
+
+
+def test_pooling_goes_on_where_it_stopped(spark, tmp_path):
+    from poolsmith.plans import pipelines
+
+    chunks = spark.createDataFrame([(f"c{i}", f"word{i} and", "") for i in range(6)], "chunk_id string, text string, breadcrumb string")
+    queries = spark.createDataFrame([("q1", "word1", "c5"), ("q2", "word2", "gone")], "query_id string, query_text string, seed_chunk_id string")
+    asked = []
+
+    def bm25(q, c):
+        asked.append(sorted(r["query_id"] for r in q.collect()))
+        return retrieval.bm25(q, c, 2)
+
+    path = str(tmp_path / "pool")
+    pool, missing = pipelines.pool_candidates(queries.where("query_id = 'q1'"), chunks, {"bm25": bm25}, path)
+    assert (pool.count(), missing) == (3, 0)
+    pool, missing = pipelines.pool_candidates(queries, chunks, {"bm25": bm25}, path)
+    pipelines.pool_candidates(queries, chunks, {"bm25": bm25}, path)
+    assert asked == [["q1"], ["q2"]] and missing == 1 and pool.where("seed").count() == 2
+    pairs, gone = pipelines.to_judge(pool, pool.where("false"), queries, chunks)
+    assert pairs.count() == 5 and [tuple(r) for r in gone.collect()] == [("q2", "gone")]
+
+
+def test_numbered(spark):
+    df = spark.range(1000).selectExpr("id", "id * 7919 % 1000 AS k").repartition(7)
+    assert sorted((r["k"], r["n"]) for r in joins.numbered(df, "n", "k").collect()) == [(i, i + 1) for i in range(1000)]
+    assert joins.numbered(df.where("false"), "n", "k").count() == 0
+
+
+def test_vector_blocks(spark, monkeypatch):
+    """Blocks of any size, sent or not, give what all products give; ties go by id."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    m = r.integers(-2, 3, (90, 4)).astype(float)
+    m[:, 0] += 5
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(90, None)], "chunk_id int, embedding array<float>")
+    asked = rows.where("chunk_id % 9 = 0").withColumnRenamed("chunk_id", "query_id")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    want = {(q, n + 1): c for q in range(0, 90, 9) for n, c in enumerate(sorted(range(90), key=lambda c: (-s[q, c], c))[:5])}
+    for sizes in ((256, 1024, 1 << 20), (3, 7, 1 << 20), (3, 7, 0)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", sizes[0]), monkeypatch.setattr(retrieval, "CORPUS_BLOCK", sizes[1]), monkeypatch.setattr(retrieval, "SENT_BYTES", sizes[2])
+        assert {(x["query_id"], x["rank"]): x["chunk_id"] for x in retrieval.dense(asked, rows, 5).collect()} == want
+
+
+def test_containing(spark):
+    chunks = spark.createDataFrame([("a", "xone two threex"), ("b", "One two three"), ("c", "one two"), ("d", None)], "chunk_id string, text string")
+    queries = spark.createDataFrame([("q", "one two three"), ("p", "two"), ("r", ""), ("n", None)], "query_id string, query_text string")
+    found = sorted((r["query_id"], r["chunk_id"]) for r in retrieval.containing(queries, chunks).collect())
+    assert found == sorted([("q", "a"), *(("p", c) for c in "abc"), *(("r", c) for c in "abc")])

@@ -16,9 +16,9 @@ def test_runs(name, spark):
 
 
 def test_partitions_change_nothing(spark):
-    a = QUERIES["l3_l4_stratified_counts"](spark, "/root/testdata/sf0.001").collect()
+    a = QUERIES["l3_l4_stratified_sample"](spark, "/root/testdata/sf0.001").collect()
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
-        assert sorted(QUERIES["l3_l4_stratified_counts"](spark, "/root/testdata/sf0.001").collect()) == sorted(a)
+        assert sorted(QUERIES["l3_l4_stratified_sample"](spark, "/root/testdata/sf0.001").collect()) == sorted(a)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -1,11 +1,11 @@
-from poolsmith.plans import pipelines
+from poolsmith.plans import models
 from poolsmith.streaming.judging import PAIRS, arriving, judge_stream
 
 
 def test_judged_once(spark, tmp_path):
     pairs, labels = str(tmp_path / "pairs"), str(tmp_path / "labels")
     put = lambda *rows: spark.createDataFrame(rows, PAIRS).coalesce(1).write.mode("append").parquet(pairs)
-    run = lambda check: judge_stream(arriving(spark, pairs), lambda df: pipelines.judge(df, pipelines.stub_judge, {"model": "stub"}), labels, str(tmp_path / check)).awaitTermination()
+    run = lambda check: judge_stream(arriving(spark, pairs), lambda df: models.judge(df, models.stub_judge, {"model": "stub"}), labels, str(tmp_path / check)).awaitTermination()
     put(("q", "a", "one two", "one two three"), ("q", "a", "one two", "one two three"), ("q", "b", "one", "none of it"))
     run("c1")
     assert spark.read.parquet(labels).count() == 2
@@ -22,4 +22,4 @@ def test_errors_are_data(spark):
         raise KeyError("d1")
 
     df = spark.createDataFrame([("q", "a", "x", "y")], PAIRS)
-    assert pipelines.judge(df, broken, {}).first()["_error"].startswith("KeyError")
+    assert models.judge(df, broken, {}).first()["_error"].startswith("KeyError")
