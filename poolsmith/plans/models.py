@@ -194,7 +194,7 @@ def stub_filter(message: str) -> dict:
 
 
 def stub_synthesis(message: str) -> dict:
-    topic, _, ids = message.partition("\n")
+    topic, ids, *_ = message.split("\n")
     return {"query_text": f"synthesis: {topic}", "seed_chunk_ids": ids.split(",")}
 
 
