@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from poolsmith.llm import chat_format, exact_dedup, html_extract, license_scan, packing, pii, piece_codec, quality, simhash, toxicity
+from poolsmith.llm import chat_format, exact_dedup, html_extract, license_scan, packing, pii, piece_codec, quality, queries, simhash, toxicity
 from poolsmith.llm.common import hot_keys, spread_join
 from poolsmith.llm.components import components
 
@@ -126,6 +126,11 @@ def test_hot_keys_are_spread(spark):
         assert sorted(map(str, spread_join(rows, entries, ["k"], how, hot).collect())) == sorted(map(str, rows.join(entries, "k", how).collect()))
 
 
+@pytest.mark.parametrize("name", sorted(queries.BASE))
+def test_base_columns_against_sql(same, name):
+    same(*queries.BASE[name])
+
+
 def test_labels_of_one_kind(spark):
     d = table(spark, TEXTS)
     assert toxicity.scored(d, toxicity.fit(d, labels(spark, [(2, 1, 0), (3, 1, 0)]))).where("toxicity > 0").count() == 0
