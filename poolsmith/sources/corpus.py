@@ -104,6 +104,17 @@ def located_json_lines(spark: SparkSession, path: str | list[str], schema: T.Str
     return parsed.where(F.trim("value") != "").select(*(F.col("r")[f.name].alias(f.name) for f in schema.fields))
 
 
+def shards(spark: SparkSession, paths: list[str], schema: T.StructType | str) -> DataFrame:
+    """All rows of several files of JSON lines, as written by the shards of a job."""
+    return json_lines(spark, paths, schema)
+
+
+def label_keys(spark: SparkSession, paths: list[str], queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id: the pairs of the given queries that any of the files has a label for, each once."""
+    keys = shards(spark, paths, "query_id string, chunk_id string").select("query_id", "chunk_id")
+    return keys.join(queries.select("query_id"), "query_id", "left_semi").distinct()
+
+
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """id, pos: one id a line, trimmed, blank lines dropped."""
     return spark.read.text(path).select(F.trim("value").alias("id"), F.monotonically_increasing_id().alias("pos")).where("id != ''")

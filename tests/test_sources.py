@@ -213,3 +213,11 @@ def test_shared_folder(spark, tmp_path):
     import os
 
     assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_keys_of_several_files(spark, tmp_path):
+    a = write(tmp_path, '{"query_id": "q", "chunk_id": "a", "score": 1}\n{"query_id": "p", "chunk_id": "a"}\n', "a.jsonl")
+    b = write(tmp_path, '{"query_id": "q", "chunk_id": "a"}\n{"query_id": "q", "chunk_id": "b"}\n', "b.jsonl")
+    assert corpus.shards(spark, [a, b], "query_id string, chunk_id string, score int").count() == 4
+    found = corpus.label_keys(spark, [a, b], spark.createDataFrame([("q",)], "query_id string"))
+    assert sorted(map(tuple, found.collect())) == [("q", "a"), ("q", "b")]
