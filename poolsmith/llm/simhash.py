@@ -280,8 +280,8 @@ def verify_buckets(members: DataFrame, similarity: float) -> DataFrame:
 
 #: At most so many ids or buckets are sent to every task; more are joined by a shuffle.
 SENT = 1 << 20
-#: A bucket in which more fingerprints stand is dealt out in parts of so many.
-STANDING = 4096
+#: A bucket in which more fingerprints stand is dealt out in parts of so many. Each part gives a forest of links, so that parts are for buckets that one task can't compare in minutes.
+STANDING = 1 << 16
 
 
 def search_buckets(fps: DataFrame, radius: int, places: list[np.ndarray], pairs_of) -> DataFrame:
