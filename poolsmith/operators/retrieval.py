@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsmith.functions.text import tokens
-from poolsmith.sources.shared import shared_table
+from poolsmith.sources.shared import shared_table, spread
 
 PAIR = ["query_id", "chunk_id"]
 
@@ -36,7 +36,8 @@ def sent(df: DataFrame) -> DataFrame:
 
 def tokenised(chunks: DataFrame, text: Column | None = None) -> DataFrame:
     """chunk_id, dl, w: each chunk's tokens and their number, written once, so that texts are read and cut in one pass."""
-    words = chunks.select("chunk_id", tokens(F.col("text") if text is None else text).alias("w"))
+    read = spread(chunks.select("chunk_id", (F.col("text") if text is None else text).alias("text")))
+    words = read.select("chunk_id", tokens(F.col("text")).alias("w"))
     return shared_table(words.select("chunk_id", F.size("w").alias("dl"), "w"), "tokens")
 
 

@@ -11,14 +11,14 @@ from poolsmith.functions import fixed, rubric
 from poolsmith.functions import text as X
 from poolsmith.operators import joins, retrieval, sampling
 from poolsmith.plans import models
-from poolsmith.sources.shared import shared_table
+from poolsmith.sources.shared import shared_table, spread
 from poolsmith.sources.sinks import append_new, table_at
 
 
 def classified_chunks(chunks: DataFrame, tiers: DataFrame) -> DataFrame:
     """chunk_id, source, tier, section, reason, pos of the configured sources' chunks, written once: texts are read and judged in one pass and go no further."""
     known = chunks.join(tiers.select("source", "tier"), "source")
-    return shared_table(X.with_reason(known).withColumn("section", X.section(F.col("breadcrumb"))).select("chunk_id", "source", "tier", "section", "reason", "pos"), "classified")
+    return shared_table(X.with_reason(spread(known)).withColumn("section", X.section(F.col("breadcrumb"))).select("chunk_id", "source", "tier", "section", "reason", "pos"), "classified")
 
 
 def sampled_corpus(chunks: DataFrame, tiers: DataFrame, questions_per_chunk: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -28,8 +28,8 @@ def sampled_corpus(chunks: DataFrame, tiers: DataFrame, questions_per_chunk: int
     """
     targets = sampling.source_targets(tiers, questions_per_chunk)
     classified = classified_chunks(chunks, targets)
-    chosen = sampling.sample_sources(classified.where("reason IS NULL").select("chunk_id", "source", "tier", "section", "pos"), targets, seed)
-    sampled = chosen.join(chunks.drop("source", "tier", "section", "pos"), "chunk_id")
+    chosen = shared_table(sampling.sample_sources(classified.where("reason IS NULL").select("chunk_id", "source", "tier", "section", "pos"), targets, seed), "sample")
+    sampled = chunks.drop("source", "tier", "section", "pos").join(retrieval.sent(chosen), "chunk_id")
     return sampled, sampling.sampling_report(classified, chosen, targets)
 
 

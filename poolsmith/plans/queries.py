@@ -13,6 +13,7 @@ from poolsmith.operators import joins, metrics, retrieval, sampling
 from poolsmith.plans import models, pipelines
 from poolsmith.plans.stand_ins import relation, with_relations
 from poolsmith.sources.corpus import nested_rankings, one_a_key, rankings_from_nested
+from poolsmith.sources.shared import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -487,12 +488,12 @@ def noted(c: DataFrame) -> DataFrame:
 
 @query("p4_boilerplate_reasons", "chunks", REASON_SQL + "SELECT chunk_id, section, reason FROM judged")
 def _(c):
-    return X.with_reason(noted(c)).select("chunk_id", X.section(F.col("breadcrumb")).alias("section"), "reason")
+    return X.with_reason(spread(noted(c))).select("chunk_id", X.section(F.col("breadcrumb")).alias("section"), "reason")
 
 
 @query("p5_a3_a4_reasons_by_source", "chunks", REASON_SQL + "SELECT source, reason, count(*) AS n FROM judged GROUP BY source, reason")
 def _(c):
-    return X.with_reason(noted(c)).groupBy("source", "reason").agg(F.count("*").alias("n"))
+    return X.with_reason(spread(noted(c))).groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
 @query("p7_p8_review", "chunks", "SELECT chunk_id, ordinal, words FROM (SELECT *, CAST(row_number() OVER (ORDER BY pos) AS INT) AS ordinal, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?'))::INT AS words FROM chunks) x WHERE contains(lower(concat_ws(chr(10), breadcrumb, 'en', text)), 'src1') AND words BETWEEN 20 AND 400 ORDER BY ordinal LIMIT 50 OFFSET 5")

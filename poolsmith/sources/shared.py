@@ -45,6 +45,16 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many bytes a table is dealt to all cores before work on its texts.
+SMALL = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, in as many parts as there are cores where it is small: a small file is one row group and so one task's. A large table comes in enough parts, and stays as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)

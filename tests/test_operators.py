@@ -290,3 +290,11 @@ def test_containing(spark):
     queries = spark.createDataFrame([("q", "one two three"), ("p", "two"), ("r", ""), ("n", None)], "query_id string, query_text string")
     found = sorted((r["query_id"], r["chunk_id"]) for r in retrieval.containing(queries, chunks).collect())
     assert found == sorted([("q", "a"), *(("p", c) for c in "abc"), *(("r", c) for c in "abc")])
+
+
+def test_tokens(spark):
+    import re
+
+    texts = ["", "One two-THREE_4", "\u212aelvin \u0130stanbul É a", "  x ", "ÀB", "ſs", "1\n2\t3", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(X.tokens(F.col("t"))).collect()]
+    assert got == [re.sub("[^a-zA-Z0-9]", " ", t.lower()).split() for t in texts[:-1]] + [None]
