@@ -1,13 +1,14 @@
 """Quality rules with an isolation forest over their statistics.
 
-Each document's rule statistics are counted over its whole text. Trees of random splits are grown on
-statistics of a bounded sample of labelled rows (``LABELLED``); a document that few splits set apart from
-the others has a short mean path and so a high anomaly score. The threshold on the score is calibrated on
-the same labelled rows. The base rules hold besides: what fails them is never kept.
+Each document's rule statistics are counted over its whole text. Trees of random splits are grown on the
+statistics of labelled rows: as the method has it, each tree on SUBSAMPLE rows of its own, drawn from all of
+them. A document that few splits set apart from the others has a short mean path and so a high anomaly score.
+The threshold on the score is the one of least cost over all labelled rows. The base rules hold besides: what
+fails them is never kept.
 
 Defined results: a null text has no words and fails the base rules; a null id is scored like any other;
-repeated rows are scored each; without labelled rows of both kinds nothing is anomalous; an empty table
-gives an empty result; columns other than id and text are ignored.
+repeated rows are scored each and learnt from once, different texts of one id each; without labelled rows of
+both kinds nothing is anomalous; an empty table gives an empty result; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolsmith.llm.common import table, text_or_empty
+from poolsmith.llm.common import shared_table, table, text_or_empty
+from poolsmith.sources.shared import spread
 
-#: At most so many labelled rows, those with the smallest hashes of their ids, fit the forest and the threshold.
-LABELLED = 4000
 TREES, SUBSAMPLE, SEED = 100, 256, 11
 WINDOW = 8
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -83,14 +83,15 @@ def path_average(n: int) -> float:
 class Forest:
     """Isolation trees as flat arrays; pickled to the workers."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
+    def __init__(self, samples: list[np.ndarray], seed: int = SEED):
+        """samples: each tree's rows, as many for each."""
         rng = np.random.default_rng(seed)
-        self.size = min(subsample, len(rows))
+        self.size = len(samples[0])
         self.height = max(1, math.ceil(math.log2(max(2, self.size))))
         self.trees = []
-        for _ in range(trees):
+        for rows in samples:
             nodes: list[tuple[int, float, int, int, float]] = []
-            self._grow(rows[rng.choice(len(rows), self.size, replace=False)], 0, rng, nodes)
+            self._grow(rows, 0, rng, nodes)
             self.trees.append(tuple(np.array(x) for x in zip(*nodes, strict=True)))
 
     def _grow(self, rows: np.ndarray, depth: int, rng, nodes: list) -> int:
@@ -131,8 +132,8 @@ def threshold(scores: np.ndarray, good: np.ndarray, weight: float = 4.0) -> floa
     return math.inf if best == 0 else float(s[best - 1] if best == len(s) else (s[best - 1] + s[best]) / 2)
 
 
-def counted(docs: DataFrame, score=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base counts, statistics and, with a (forest, threshold), anomaly."""
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, base counts, statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,37 +142,126 @@ def counted(docs: DataFrame, score=None, id_col: str = "doc_id", text_col: str =
                 found = [count(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 base = np.array([x for x, _ in found], np.int64).reshape(-1, len(BASE))
                 more = np.array([x for _, x in found], np.float64).reshape(-1, len(STATISTICS))
-                anomaly = score.scores(more) if score else np.zeros(len(more))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(base[:, j]) for j in range(len(BASE))), *(pa.array(more[:, j]) for j in range(len(STATISTICS))), pa.array(anomaly)], names=["doc_id", *BASE, *STATISTICS, "anomaly"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(base[:, j]) for j in range(len(BASE))), *(pa.array(more[:, j]) for j in range(len(STATISTICS)))], names=["doc_id", *BASE, *STATISTICS])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return base.mapInArrow(run, ", ".join(["doc_id long", *(f"{x} long" for x in BASE), *(f"{x} double" for x in STATISTICS), "anomaly double"]))
+    return base.mapInArrow(run, ", ".join(["doc_id long", *(f"{x} long" for x in BASE), *(f"{x} double" for x in STATISTICS)]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> tuple[Forest | None, float]:
-    """(forest, threshold) from at most ``sample`` labelled rows."""
-    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    quality = {r["doc_id"]: r["quality"] for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
-    if len(quality) < 2:
-        return None, math.inf
-    # at most ``sample`` ids
-    ids = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in quality], "doc_id long"))
-    # of rows with one id the least text, whatever order they come in
-    known = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = counted(known).orderBy("doc_id").limit(sample).collect()
-    if len(rows) < 2:
+def scored(found: DataFrame, forest: Forest | None) -> DataFrame:
+    """found with a column anomaly in place of the statistics; 0 without a forest."""
+    names = [x for x in found.columns if x not in STATISTICS]
+    if forest is None:
+        return found.select(*names, F.lit(0.0).alias("anomaly"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.stack([batch.column(len(names) + j).to_numpy() for j in range(len(STATISTICS))], axis=1)
+            anomaly = np.concatenate([np.zeros(0), *(forest.scores(rows[i : i + 1000]) for i in range(0, len(rows), 1000))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(len(names))), pa.array(anomaly)], names=[*names, "anomaly"])
+
+    return found.select(*names, *STATISTICS).mapInArrow(run, ", ".join([*(f"{x} {found.schema[x].dataType.simpleString()}" for x in names), "anomaly double"]))
+
+
+def samples(known: DataFrame, n: int, trees: int = TREES, subsample: int = SUBSAMPLE) -> list[np.ndarray]:
+    """The rows of each tree, drawn from all n rows of ``known``: those with the least of the tree's hashes, whatever order they come in.
+
+    About 1.6 * subsample rows a tree come to the driver.
+    """
+    size = min(subsample, n)
+    share = min(1.0, (size + 10 * math.sqrt(size)) / n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = np.uint64(min(2**64 - 1, int(share * 2**64)))
+        for batch in batches:
+            key = batch.column(0).to_numpy().view(np.uint64)
+            drawn = [_tree_hash(key, t) for t in range(trees)]
+            at = [np.flatnonzero(h <= limit) for h in drawn]
+            tree, rows = np.repeat(np.arange(trees), [len(x) for x in at]), pa.array(np.concatenate(at))
+            own = np.concatenate([h[x] for h, x in zip(drawn, at, strict=True)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(own), *(batch.column(1 + j).take(rows) for j in range(len(STATISTICS)))], names=["tree", "h", *STATISTICS])
+
+    keyed = known.select(F.xxhash64("doc_id", *STATISTICS).alias("key"), *STATISTICS)
+    schema = ", ".join(["tree long", "h long", *(f"{x} double" for x in STATISTICS)])
+    while True:
+        got = keyed.mapInArrow(run, schema).toArrow()
+        tree, h = got["tree"].to_numpy(), got["h"].to_numpy().view(np.uint64)
+        if np.bincount(tree, minlength=trees).min() >= size:
+            break
+        share = min(1.0, 2 * share)  # a tree has had too few
+    rows = np.stack([got[x].to_numpy() for x in STATISTICS], axis=1)
+    order = np.lexsort([*rows.T, h, tree])
+    ends = np.searchsorted(tree[order], np.arange(trees))
+    return [rows[order[a : a + size]] for a in ends]
+
+
+def _tree_hash(key: np.ndarray, tree: int) -> np.ndarray:
+    """A hash of each key, another one for each tree (the last steps of SplitMix64)."""
+    z = key + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def least_cost(rows: DataFrame, weight: float = 4.0) -> float:
+    """``threshold`` of all rows (anomaly, good): costs are summed within ranges of scores, and a row for each range comes to the driver."""
+    kinds = rows.agg(F.min("good").alias("all"), F.max("good").alias("any")).first()
+    if kinds["any"] is None or kinds["all"] or not kinds["any"]:
+        return math.inf
+    names = ["first", "total", "least", "at", "below"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = at = below = None  # below: the score that follows ``at`` in this range
+        total, least = 0.0, math.inf
+        for batch in batches:
+            s, costs = batch.column(0).to_numpy(), total + np.cumsum(batch.column(1).to_numpy())
+            if not len(s):
+                continue
+            first = s[0] if first is None else first
+            below = s[0] if at is not None and below is None else below
+            i = int(np.argmin(costs))
+            if costs[i] < least:
+                least, at, below = costs[i], s[i], s[i + 1] if i + 1 < len(s) else None
+            total = costs[-1]
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in (first, total, least, at, below)], names=names)
+
+    # equal scores go together
+    costs = rows.groupBy("anomaly").agg(F.sum(F.when(F.col("good"), F.lit(weight)).otherwise(F.lit(-1.0))).alias("cost"))
+    ranges = costs.orderBy(F.desc("anomaly")).mapInArrow(run, ", ".join(f"{x} double" for x in names)).collect()
+    best, limit, before = 0.0, math.inf, 0.0
+    ranges.sort(key=lambda r: -r["first"])
+    for r, after in zip(ranges, [*(x["first"] for x in ranges[1:]), None], strict=True):
+        if before + r["least"] < best:
+            best = before + r["least"]
+            below = after if r["below"] is None else r["below"]
+            limit = r["at"] if below is None else (r["at"] + below) / 2
+        before += r["total"]
+    return limit
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Forest | None, float]:
+    """(forest, threshold) from all labelled rows."""
+    return _fit(shared_table(counted(docs), "quality-counts"), labels)
+
+
+def _fit(found: DataFrame, labels: DataFrame) -> tuple[Forest | None, float]:
+    marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
+    known = shared_table(found.select("doc_id", *STATISTICS).join(marked, "doc_id").distinct(), "quality-known")
+    n = known.count()
+    if n < 2:
         return None, math.inf
-    x = np.array([[r[s] for s in STATISTICS] for r in rows])
-    forest = Forest(x)
-    return forest, threshold(forest.scores(x), np.array([quality[r["doc_id"]] > 0 for r in rows]))
+    known = spread(known)
+    forest = Forest(samples(known, n))
+    return forest, least_cost(shared_table(scored(known, forest).select("anomaly", "good"), "quality-scores"))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, kept, anomaly: one row per row of docs."""
-    forest, limit = fit(docs, labels)
-    found = counted(docs, forest)
+    counts = shared_table(counted(docs), "quality-counts")
+    forest, limit = _fit(counts, labels)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return found.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (F.col("anomaly") < F.lit(limit))).alias("kept"), "anomaly")
+    return scored(counts, forest).select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (F.col("anomaly") < F.lit(limit))).alias("kept"), "anomaly")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -511,3 +511,45 @@ def test_quality_on_rows_held_out(spark):
     kept = lambda q: np.mean([r["kept"] for r in found if good[r["doc_id"]] == q and not r["base_failed"]])
     print("held out: kept of good", kept(1), "of bad", kept(0))
     assert kept(1) > 0.97 and kept(0) < 0.65
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """Bad rows among 6000 labelled ones, all of them beyond the 4000 smallest hashes of ids."""
+    r = random.Random(21)
+    ids = [x["id"] for x in spark.range(6000).orderBy(F.xxhash64("id"), "id").collect()]
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 8)))
+    good = lambda: " ".join(word() for _ in range(30)) + "."
+    texts = {i: good() if k < 4000 or k % 10 else " ".join(word().upper() + "!#7" for _ in range(30)) for k, i in enumerate(ids)}
+    bad = {i for i, t in texts.items() if "#" in t}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = quality.quality(docs, spark.createDataFrame([(i, int(i not in bad)) for i in ids], "doc_id long, quality int"))
+    gone = {f["doc_id"] for f in found.collect() if not f["kept"]}
+    print("gone", len(gone & bad), "bad,", len(gone - bad), "good")
+    assert len(bad) == 200 and len(gone & bad) > 100 and len(gone - bad) < 58
+
+
+def test_trees_draw_from_all_rows(spark):
+    """Against the least hashes of all rows, in two layouts."""
+    r = np.random.default_rng(22)
+    rows = r.random((3000, len(quality.STATISTICS)))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows.tolist())], ", ".join(["doc_id long", *(f"{x} double" for x in quality.STATISTICS)]))
+    key = np.array([x["k"] for x in df.select("doc_id", F.xxhash64("doc_id", *quality.STATISTICS).alias("k")).orderBy("doc_id").collect()], np.int64).view(np.uint64)
+    first, second = (quality.samples(d, 3000) for d in (df.repartition(3), df.orderBy(F.desc("doc_id")).repartition(7)))
+    drawn = set()
+    for t, (a, b) in enumerate(zip(first, second, strict=True)):
+        want = np.argsort(quality._tree_hash(key, t), kind="stable")[: quality.SUBSAMPLE]
+        assert (a == rows[want]).all() and (a == b).all()
+        drawn.update(want.tolist())
+    assert len(drawn) > 2990
+    few = quality.samples(df.where("doc_id < 5"), 5)
+    assert len(few) == quality.TREES and all(sorted(x[:, 0]) == sorted(rows[:5, 0]) for x in few)
+
+
+def test_least_cost_over_ranges(spark):
+    """As the threshold of the same rows in one piece, with ties, in few and many ranges."""
+    r = np.random.default_rng(23)
+    for n, steps, rate in ((1, 3, 0.5), (40, 5, 0.5), (3000, 200, 0.6), (3000, 10**6, 0.2), (500, 50, 0.0), (500, 50, 1.0), (2000, 2000, 0.97)):
+        s = r.integers(0, steps, n) / steps
+        good = r.random(n) < np.where(s > 0.7, rate / 4, rate)
+        df = spark.createDataFrame(list(zip(s.tolist(), good.tolist(), strict=True)), "anomaly double, good boolean").repartition(5)
+        assert quality.least_cost(df) == quality.threshold(s, good), (n, steps, rate)
