@@ -298,3 +298,17 @@ def test_tokens(spark):
     texts = ["", "One two-THREE_4", "\u212aelvin \u0130stanbul É a", "  x ", "ÀB", "ſs", "1\n2\t3", None]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(X.tokens(F.col("t"))).collect()]
     assert got == [re.sub("[^a-zA-Z0-9]", " ", t.lower()).split() for t in texts[:-1]] + [None]
+
+
+def test_rewrites_in_other_case(spark):
+    """What is unchanged but for case is no rewrite, whatever its letters' forms in capitals; single quotes belong to the text."""
+    from poolsmith.functions import rubric
+
+    taken = lambda df: df.select(rubric.accepted_rewrite(F.col("said"), F.col("text")).alias("r"))
+    letters = [c for c in map(chr, range(0x110000)) if c.upper() != c or c.lower() != c]
+    signs = spark.createDataFrame([(f"a{c}z",) for c in letters], "text string")
+    assert taken(signs.withColumn("said", F.upper("text"))).where("r IS NOT NULL").count() == 0
+    assert taken(signs.withColumn("said", F.lower("text"))).where("r IS NOT NULL").count() == 0
+    rows = [("stra\u00dfe", "STRASSE"), ("stra\u00dfe", ' "stra\u00dfe?" '), ("'a' b", "\"'a' b?\""), (None, ' "?" '), ("a", '""'), ("a", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, said string").orderBy("i")
+    assert [r["r"] for r in taken(df).collect()] == [None, "stra\u00dfe?", "'a' b?", "?", None, None]
