@@ -27,6 +27,8 @@ def ranked(scores: DataFrame, k: int, *by: str) -> DataFrame:
 
 #: At most so many rows are sent to every task; more are joined by a shuffle.
 SENT = 1 << 20
+#: About so many scores, or terms of chunks, are summed up in one task.
+SUMMED = 1 << 19
 
 
 def sent(df: DataFrame) -> DataFrame:
@@ -59,7 +61,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: floa
     idf = ln(n - df + 0.5) - ln(df + 0.5), negative ones become epsilon times the mean idf; a query's terms
     count as often as it has them. Only tokens that are query terms leave their chunk's task, so that a stop
     word that no query has costs nothing; their counts are dealt by chunk, where the scores are summed without
-    another shuffle. fill: chunks that share no term with a query have score 0, and compete in order of id.
+    another shuffle. There are as many parts as the number of scores asks for, so that a task's memory doesn't
+    grow with the tables. fill: chunks that share no term with a query have score 0, and compete in order of id.
     """
     words = words or tokenised(chunks, F.concat_ws("\n", F.nullif("breadcrumb", F.lit("")), "text") if include_breadcrumb else None)
     n, avgdl = words.agg(F.count("*"), F.avg("dl")).first()
@@ -68,10 +71,14 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: floa
     mean = df.agg(F.avg(rarity)).first()[0]
     asked = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     idf = F.when(rarity < 0, F.lit(epsilon) * F.lit(mean)).otherwise(rarity)
-    asked = shared_table(asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf * (k1 + 1)).alias("weight")), "asked")
+    asked = shared_table(asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf * (k1 + 1)).alias("weight"), "df"), "asked")
     terms = sent(asked.select("term").distinct())
-    counted = words.select("chunk_id", "dl", F.explode("w").alias("term")).join(terms, "term", "left_semi").repartition("chunk_id").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    added, by = asked.agg(F.sum("df"), F.count_distinct("query_id")).first()
+    held = asked.groupBy("term").agg(F.first("df").alias("df")).agg(F.sum("df")).first()[0]
+    parts = max(words.sparkSession.sparkContext.defaultParallelism, -(-max(min(added or 0, n * by), held or 0) // SUMMED))
+    counted = words.select("chunk_id", "dl", F.explode("w").alias("term")).join(terms, "term", "left_semi").repartition(parts, "chunk_id").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("weight") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    asked = asked.drop("df")
     scores = counted.join(sent(asked), "term").groupBy("chunk_id", "query_id").agg(F.sum(part).alias("score")).select(*PAIR, "score")
     if not fill:
         return ranked(scores, k)

@@ -154,6 +154,26 @@ def test_bm25_fills(spark):
     assert [x["chunk_id"] for x in retrieval.bm25(q, c, 3).orderBy("rank").collect()] == ["c3", "c0", "c1"]
 
 
+def test_bm25_parts_grow_with_scores(spark, monkeypatch):
+    """However many chunks and queries there are, a task sums up about SUMMED scores, and parts change no rank."""
+    q = spark.createDataFrame([(f"q{i}", f"the word{i % 7} word{i % 5}") for i in range(10)], "query_id string, query_text string")
+    seen, ranked = [], retrieval.ranked
+
+    def watched(scores, k):
+        seen.append([r["n"] for r in scores.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()])
+        return ranked(scores, k)
+
+    monkeypatch.setattr(retrieval, "ranked", watched)
+    for n in (100, 400):
+        c = spark.createDataFrame([(f"c{i:03}", f"the word{i % 11} and word{i % 13}" * (i % 3 + 1), "") for i in range(n)], "chunk_id string, text string, breadcrumb string")
+        tops = []
+        for summed in (1 << 19, 100):
+            monkeypatch.setattr(retrieval, "SUMMED", summed, raising=False)
+            tops.append(sorted((r["query_id"], r["chunk_id"], round(r["score"], 6), r["rank"]) for r in retrieval.bm25(q, c, 5, fill=False).collect()))
+        assert tops[0] == tops[1] and len(tops[0]) == 50
+        assert sum(seen[-1]) == 10 * n and max(seen[-1]) <= 300
+
+
 def test_token_batches(spark):
     c = spark.createDataFrame([("s", i, "x" * 40) for i in range(7)] + [("s", 7, "y" * 4000)], "g string, pos int, text string")
     got = [r["batch"] for r in retrieval.token_batches(c, "g", "pos", 30, 100).orderBy("pos").collect()]
