@@ -184,14 +184,24 @@ def late_interaction(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame
     return best_of_blocks(queries, corpus, k, False)
 
 
+#: Texts that an encoder is given at once.
+ENCODED = 256
+
+
 def encoded(rows: DataFrame, encode, text: str = "text") -> DataFrame:
-    """rows with ``embedding``: ``encode`` makes vectors of a list of texts; any model can stand behind it."""
+    """rows with ``embedding``: ``encode`` makes vectors of a list of texts; any model can stand behind it.
+
+    Texts become Python's a few at a time. The model is asked once for each row: as the function isn't said to be
+    deterministic, Spark doesn't run it again for a filter on its result.
+    """
+    kind = pa.list_(pa.float32())
 
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(list(map(list, encode(s.fillna("").tolist()))))
+    @F.arrow_udf("array<float>")
+    def run(texts: pa.Array) -> pa.Array:
+        given = (texts.slice(i, ENCODED).to_pylist() for i in range(0, len(texts), ENCODED))
+        return pa.concat_arrays([pa.array([], kind), *(pa.array(list(map(list, encode([t or "" for t in some]))), kind) for some in given)])
 
-    return rows.withColumn("embedding", run(text))
+    return rows.withColumn("embedding", run.asNondeterministic()(text))
 
 
 def hashing_encoder(dims: int = 64):

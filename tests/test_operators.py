@@ -332,3 +332,22 @@ def test_rewrites_in_other_case(spark):
     rows = [("stra\u00dfe", "STRASSE"), ("stra\u00dfe", ' "stra\u00dfe?" '), ("'a' b", "\"'a' b?\""), (None, ' "?" '), ("a", '""'), ("a", None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, said string").orderBy("i")
     assert [r["r"] for r in taken(df).collect()] == [None, "stra\u00dfe?", "'a' b?", "?", None, None]
+
+
+def test_encoder_is_asked_once_and_for_few_texts(spark, tmp_path):
+    """A model sees each row's text once, whatever is filtered afterwards, and few texts at a time."""
+    log, stand_in = str(tmp_path / "asked"), retrieval.hashing_encoder(8)
+
+    def encode(texts):
+        with open(log, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return stand_in(texts)
+
+    c = spark.createDataFrame([(f"c{i}", None if i == 7 else f"word{i} and word{i % 9}") for i in range(3000)], "chunk_id string, text string").coalesce(1)
+    q = spark.createDataFrame([("q", [float(x) for x in stand_in(["word5 and word5"])[0]])], "query_id string, embedding array<float>")
+    top = retrieval.dense(q, retrieval.encoded(c, encode).select("chunk_id", "embedding"), 3).collect()
+    asked = [int(n) for n in open(log).read().split()]
+    assert len(top) == 3 and sum(asked) == 3000 and max(asked) <= 256
+    vectors = {r["chunk_id"]: r["embedding"] for r in retrieval.encoded(c, stand_in).collect()}
+    texts = {r["chunk_id"]: r["text"] or "" for r in c.collect()}
+    assert all(vectors[k] == pytest.approx(stand_in([t])[0], abs=1e-6) for k, t in texts.items())
